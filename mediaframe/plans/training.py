@@ -38,14 +38,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _TRIM = r"regexp_replace(value_label, '^[\s\x00\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x00\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')"
 _CELLS = rf"""
   labels as (select key_label, value_type, lower(regexp_replace(key_label, '\s+', '', 'g')) as k from label_types),
-  vals as (select path, l.key_label, value_type, {_TRIM} as v from meta_stats m
+  vals as (select path, l.key_label, value_type, {_TRIM} as v, {_TRIM} as v0 from meta_stats m
            join labels l on lower(regexp_replace(m.key_label, '\s+', '', 'g')) = l.k
            where path is not null and value_type in ('integer', 'text')),
   nums as (select *, case when value_type = 'integer' then regexp_replace(regexp_replace(
              regexp_replace(v, '([0-9])[,''’ ]([0-9]{{3}})\b', '\1\2', 'g'),
              '([0-9])[,''’ ]([0-9]{{3}})\b', '\1\2', 'g'), '([0-9])[,''’ ]([0-9]{{3}})\b', '\1\2', 'g') end as s
-           from vals where v <> ''),
-  read as (select *, case when value_type = 'text' then v
+           from (select * replace (translate(v, '０１２３４５６７８９', '0123456789') as v) from vals) where v <> ''),
+  read as (select *, case when value_type = 'text' then v0
              when len(regexp_extract_all(s, '[0-9]+(?:[.][0-9]+)?')) = 1 and regexp_matches(s, '(^|[^0-9.])[0-9]+([.]0+)?($|[^0-9.])')
              then ltrim(regexp_replace(regexp_extract(s, '[0-9]+(?:[.][0-9]+)?'), '[.]0+$', ''), '0') end as c from nums),
   cells as (select path, key_label, value_type, min(c) as lo, max(c) as hi, bool_or(c is null) as bad from read group by all)"""
