@@ -56,15 +56,29 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a checkpoint in columnar form."""
+def stage(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: a checkpoint in columnar form.
+
+    ``by`` names a column to partition the files by."""
     path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def staged_union(tables: list[DataFrame]) -> DataFrame:
+    """One scan over several staged tables of the same columns."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[t._staged_at for t in tables])
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, whereupon Spark drops shuffles, broadcasts and code of finished steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def unstage(df: DataFrame | None) -> None:
     """Remove the files of a staged table that nothing reads any more."""
     path = getattr(df, "_staged_at", None)
