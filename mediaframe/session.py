@@ -10,8 +10,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,20 +74,6 @@ def staged_union(tables: list[DataFrame]) -> DataFrame:
     return first.sparkSession.read.schema(first.schema).parquet(*[t._staged_at for t in tables])
 
 
-@contextmanager
-def fixed_plans(spark: SparkSession) -> Iterator[None]:
-    """Run the enclosed actions without adaptive re-planning.
-
-    For loops of many short actions: adaptive execution starts a job and a driver thread per exchange, which costs more
-    than it saves there.  Only for steps whose joins stream the side that can be hot."""
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage, whereupon Spark drops shuffles, broadcasts and code of finished steps."""
     spark.sparkContext._jvm.System.gc()
