@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.session import delete_path, stage, staged_path, unstage
+from mediaframe.session import delete_path, release, stage, staged_path, staged_union, unstage
 
 BITS = 256
 MAX_DISTANCE = 10
@@ -80,12 +80,8 @@ class HashIndex:
             self.spark.sql(f"drop table if exists {self.table}")
         delete_path(self.spark, self.path)
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        """(kept_id, dup_id) of the rejected rows of one batch, given as (id, hash); accepted ones join the index.
-
-        Rows without a hash of 32 bytes are skipped.  Within the batch rows are taken in the order of their ids."""
-        valid = batch.filter("hash is not null and length(hash) = 32 and id is not null")
-        rows = stage(_classes(valid), "batch")
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """The prepared rows of one batch with a verdict each; accepted ones join the index."""
         if self.empty:
             open_ = rows.withColumn("kept", F.lit(None).cast("bigint"))
         else:
@@ -93,38 +89,56 @@ class HashIndex:
             a = probe.repartition(self.buckets, "token").alias("a").hint("shuffle_hash")
             near = a.join(self.postings().alias("b"), F.col("a.token") == F.col("b.token")).filter(_near("a", "b"))
             hits = near.groupBy("a.id").agg(F.min("b.id").alias("kept"))
-            open_ = rows.join(hits, "id", "left")
+            open_ = rows.join(hits.hint("shuffle_hash"), "id", "left")
         state = _first_come(open_.withColumn("verdict", F.when(F.col("kept").isNotNull(), "old")))
-        accepted = state.filter("verdict = 'accepted'")
-        self.append(accepted)
-        a = state.filter("verdict = 'rejected'").select("id", *_WORDS, "ones", F.explode("tokens").alias("token")).alias("a")
-        b = accepted.select("id", *_WORDS, "ones", F.explode("prefix").alias("token")).alias("b")
-        inner = a.join(b, F.col("a.token") == F.col("b.token")).filter(_near("a", "b") & (F.col("b.id") < F.col("a.id")))
-        inner = inner.groupBy("a.id").agg(F.min("b.id").alias("kept_here"))
-        reps = state.select("hash", "id", "kept").join(inner, "id", "left")
-        copies = valid.select("hash", F.col("id").alias("dup_id"))
-        out = copies.join(reps, "hash").select(F.coalesce("kept", "kept_here", "id").alias("kept_id"), "dup_id")
-        out = stage(out.filter("kept_id <> dup_id"), "duplicates")
-        unstage(rows)
-        unstage(state)
-        return out
-
-
-def _classes(valid: DataFrame) -> DataFrame:
-    """One row per distinct hash of the batch, under its smallest id, with words, tokens and its 11 rarest tokens.
+        self.append(state.filter("verdict = 'accepted'"))
+        release(self.spark)
+        return state
+
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """(kept_id, dup_id) of the rejected rows of one batch, given as (id, hash); accepted ones join the index.
+
+        Rows without a hash of 32 bytes are skipped.  Within the batch rows are taken in the order of their ids."""
+        valid = _valid(batch.select("id", "hash", F.lit(0).cast("bigint").alias("b")))
+        rows = stage(_prepare(valid), "batch")
+        return stage(_decisions(valid, self.decide(rows)), "duplicates")
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    return rows.filter("hash is not null and length(hash) = 32 and id is not null")
+
+
+def _prepare(valid: DataFrame) -> DataFrame:
+    """One row per batch and distinct hash, under its smallest id, with words, tokens and its 11 rarest tokens.
 
     Rarity is counted over the batch; which token is left out only changes the work, never the result, because
     whatever 11 tokens a posting has, a probe with all 12 finds it."""
-    reps = valid.groupBy("hash").agg(F.min("id").alias("id"))
-    rows = reps.select("hash", "id", *words_of(F.col("hash")))
+    reps = valid.groupBy("b", "hash").agg(F.min("id").alias("id"))
+    rows = reps.select("b", "hash", "id", *words_of(F.col("hash")))
     ones = sum((F.bit_count(F.col(w)) for w in _WORDS[1:]), F.bit_count(F.col("w0")))
     rows = rows.withColumn("ones", ones).withColumn("tokens", tokens_of())
-    counts = rows.select("id", F.explode("tokens").alias("token"))
-    frequent = counts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    worst = counts.join(frequent, "token").groupBy("id").agg(F.max(F.struct("n", "token")).alias("x"))
-    worst = worst.select("id", F.col("x.token").alias("drop"))
+    counts = rows.select("b", "id", F.explode("tokens").alias("token"))
+    frequent = counts.groupBy("b", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    worst = counts.join(frequent, ["b", "token"]).groupBy("b", "id").agg(F.max(F.struct("n", "token")).alias("x"))
+    worst = worst.select("b", "id", F.col("x.token").alias("drop"))
     last = F.element_at("tokens", -1)
-    return rows.join(worst, "id", "left").withColumn("prefix", F.array_remove("tokens", F.coalesce("drop", last))).drop("drop")
+    rows = rows.join(worst, ["b", "id"], "left").withColumn("prefix", F.array_remove("tokens", F.coalesce("drop", last)))
+    return rows.select("hash", "id", *_WORDS, "ones", "tokens", "prefix", "b")
+
+
+def _decisions(valid: DataFrame, states: DataFrame) -> DataFrame:
+    """(kept_id, dup_id) from the verdicts: copies follow their hash, rejected hashes look up the smallest accepted
+    one of their batch near them, those rejected by an older batch know theirs."""
+    column = ["b", "id", *_WORDS, "ones"]
+    a = states.filter("verdict = 'rejected'").select(*column, F.explode("tokens").alias("token")).alias("a")
+    b = states.filter("verdict = 'accepted'").select(*column, F.explode("prefix").alias("token")).alias("b")
+    same = (F.col("a.b") == F.col("b.b")) & (F.col("a.token") == F.col("b.token"))
+    inner = a.join(b, same).filter(_near("a", "b") & (F.col("b.id") < F.col("a.id")))
+    inner = inner.groupBy("a.b", "a.id").agg(F.min("b.id").alias("kept_here"))
+    reps = states.select("b", "hash", "id", "kept").join(inner, ["b", "id"], "left")
+    copies = valid.select("b", "hash", F.col("id").alias("dup_id"))
+    out = copies.join(reps, ["b", "hash"]).select(F.coalesce("kept", "kept_here", "id").alias("kept_id"), "dup_id")
+    return out.filter("kept_id <> dup_id")
 
 
 def _first_come(rows: DataFrame) -> DataFrame:
@@ -132,7 +146,8 @@ def _first_come(rows: DataFrame) -> DataFrame:
 
     In each round every row looks only at the first row under each of its tokens, so no list of candidates is ever
     spread out.  A row that is the first everywhere is accepted; rows near an accepted first row are rejected; the
-    others wait for the next round, which is checkpointed as a table.  The smallest waiting row is always decided."""
+    others wait for the next round, which is checkpointed as a table.  The smallest waiting row is always decided.
+    The joins meet on keys that are hashed anyway, so nothing is broadcast through the driver."""
     state, waiting = None, -1
     now = rows
     while waiting:
@@ -141,21 +156,22 @@ def _first_come(rows: DataFrame) -> DataFrame:
         before, state = state, stage(counted, "state")
         waiting = seen_by.get["waiting"]
         unstage(before)
+        release(state.sparkSession)
         undecided = state.filter("verdict is null")
         at = undecided.select("id", *_WORDS, "ones", F.explode("prefix").alias("token"))
         first = at.groupBy("token").agg(F.min(F.struct("id", *_WORDS, "ones")).alias("f")).select("token", "f.*")
         seen = (
             at.alias("a")
-            .join(first.alias("b"), F.col("a.token") == F.col("b.token"))
+            .join(first.alias("b").hint("shuffle_hash"), F.col("a.token") == F.col("b.token"))
             .groupBy("a.id")
             .agg((F.min("b.id") == F.col("a.id")).alias("first"), F.collect_set(F.when(_near("a", "b"), F.col("b.id"))).alias("near"))
         )
         heads = seen.filter("first").select(F.col("id").alias("head"))
-        gone = seen.filter("not first").select("id", F.explode("near").alias("head")).join(heads, "head", "left_semi")
+        gone = seen.filter("not first").select("id", F.explode("near").alias("head")).join(heads.hint("shuffle_hash"), "head", "left_semi")
         told = heads.select(F.col("head").alias("id"), F.lit("accepted").alias("told")).union(
             gone.select("id", F.lit("rejected")).distinct()
         )
-        now = state.join(told, "id", "left").withColumn("verdict", F.coalesce("verdict", "told")).drop("told")
+        now = state.join(told.hint("shuffle_hash"), "id", "left").withColumn("verdict", F.coalesce("verdict", "told")).drop("told")
     return state
 
 
@@ -171,12 +187,13 @@ def dedup_batches(
     spark = rows.sparkSession
     own = index is None
     index = index or HashIndex(spark)
-    source = rows.select(F.col(key).alias("id"), F.col(hash_).alias("hash"), F.coalesce(F.col(batch).cast("bigint"), F.lit(-1)).alias("b"))
-    numbers = sorted(r.b for r in source.select("b").distinct().collect())
-    out = None
-    for number in numbers:
-        found = index.ingest(source.filter(F.col("b") == number).select("id", "hash"))
-        out = found if out is None else out.unionByName(found)
+    number = F.coalesce(F.col(batch).cast("bigint"), F.lit(-1)).alias("b")
+    valid = _valid(rows.select(F.col(key).alias("id"), F.col(hash_).alias("hash"), number))
+    prepared = stage(_prepare(valid), "batches", by="b")
+    numbers = sorted(r.b for r in prepared.select("b").distinct().collect())
+    states = [index.decide(prepared.filter(F.col("b") == n)) for n in numbers]
     if own:
         index.drop()
-    return out if out is not None else source.select(F.col("id").alias("kept_id"), F.col("id").alias("dup_id")).limit(0)
+    if not states:
+        return valid.select(F.col("id").alias("kept_id"), F.col("id").alias("dup_id")).limit(0)
+    return _decisions(valid, staged_union(states))
