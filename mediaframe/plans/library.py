@@ -168,7 +168,7 @@ def knn_with_self(s, d):
 @query(None)
 def knn_approximate(s, d):
     emb = table(s, d, "embeddings")
-    return simjoin.approximate_nearest(emb, emb.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query", "rank", "neighbour")
+    return simjoin.indexed_nearest(emb, emb.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query", "rank", "neighbour")
 
 
 @query(f"""with e as {_VEC}, r as (select distinct a.vec_id, b.label, {_L2SQ} <= 1.2 as sure from e a join e b on {_L2SQ} <= 1.4),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import dates, paths, scalars, text, vectors
 from mediaframe.operators import graph, groups, ordering, priority, simjoin, stats
+from mediaframe.plans import library
 
 SQUARE = [(0, [0.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0])]
 
@@ -69,6 +70,25 @@ def test_approximate_recall(spark):
     assert len(exact) == 30 and len(exact & near) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_recall(spark, sf):
+    d = f"/root/testdata/{sf}"
+    exact = {(r.query, r.neighbour) for r in library.knn_top5(spark, d).collect()}
+    got = library.knn_approximate(spark, d).collect()
+    assert len(got) == len(exact) and len(exact & {(r.query, r.neighbour) for r in got}) / len(exact) >= 0.9
+
+
+def test_indexed_nearest_is_whole(spark, rows):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(400, 8)), rng.normal(size=(3, 8)) * 0.01 + 50])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, []), (998, None)], "id bigint, v array<double>")
+    ask = df.filter("id % 50 = 0 or id > 400")
+    few = simjoin.indexed_nearest(df, ask, "id", "v", 5, recall=0.0)
+    assert {(r.query, r["count"]) for r in few.groupBy("query").count().collect()} == {(i, 5) for i in [*range(0, 401, 50), 401, 402]}
+    assert rows(simjoin.indexed_nearest(df, ask, "id", "v", 5, recall=1.0)) == rows(simjoin.nearest(df, ask, "id", "v", 5))
+    assert rows(simjoin.indexed_nearest(df.limit(0), ask, "id", "v", 5)) == []
+
+
 def test_components(spark, rows):
     e = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (7, 7), (None, 1)], "a bigint, b bigint")
     assert rows(graph.connected_components(e)) == [(1, 1), (1, 2), (1, 3), (4, 4), (4, 5), (7, 7)]
