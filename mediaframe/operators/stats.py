@@ -53,6 +53,14 @@ def union_keep_first(frames: Sequence[DataFrame], key: str, pos: str) -> DataFra
     return best.select(key, *[F.col(f"b.`{c}`").alias(c) for c in names])
 
 
+def pivot_labels(df: DataFrame, label: str, most: int = 10_000) -> list[str]:
+    """The distinct labels, shorter ones first; they become columns, so more than ``most`` are an error.  Null is none."""
+    rows = df.select(F.col(label).alias("x")).filter("x is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels")
+    return sorted((r.x for r in rows), key=lambda x: (len(x), x))
+
+
 def pivot_first(df: DataFrame, entity: str, label: str, value: str, labels: Sequence[str]) -> DataFrame:
     """Long rows to one column per label; a cell with more than one row is an error."""
     wide = df.groupBy(entity).pivot(label, list(labels))

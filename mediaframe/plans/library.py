@@ -71,7 +71,7 @@ def sql_like_ci(s, d):
     from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity from lineitem group by all) group by 1""")
 def pivot_wide(s, d):
     long = table(s, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("n")).agg(F.max("l_quantity").alias("q"))
-    return stats.pivot_first(long, "l_orderkey", "n", "q", ["1", "2", "3"])
+    return stats.pivot_first(long, "l_orderkey", "n", "q", stats.pivot_labels(long, "n"))
 
 
 @query("select p_partkey, p_brand from part")

@@ -167,6 +167,17 @@ def test_text_and_sql(spark, rows):
         stats.pivot_first(spark.createDataFrame([("p", "k", "1"), ("p", "k", "2")], "e string, k string, v string"), "e", "k", "v", ["k"])
 
 
+def test_pivot_holds_every_line(spark):
+    d = "/root/testdata/sf0.001"
+    got = library.pivot_wide(spark, d)
+    assert got.columns == ["l_orderkey", *"1234567"]
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")).collect()
+    cells = {(r.l_orderkey, int(c), r[c]) for r in got.collect() for c in got.columns[1:] if r[c] is not None}
+    assert cells == {(r.l_orderkey, r.l_linenumber, r.q) for r in lines if r.q is not None}
+    with pytest.raises(ValueError):
+        stats.pivot_labels(spark.createDataFrame([("1",), ("2",), (None,)], "n string"), "n", 1)
+
+
 def test_vectors_of_a_grid(spark):
     g = [float(x) for x in (1, 2, 3, 4, 9, 6, 7, 8, 5)]
     df = spark.createDataFrame([(g,)], "g array<double>")
