@@ -21,8 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
-    wide, labels = _wide(spark, d)
-    return wide.select("path", *[f"`{name}`" for name, kind in labels if kind in ("integer", "text")])
+    """All labels as typed columns, and the lists ``unreadable`` and ``conflict`` of the cells that have no one value."""
+    return _wide(spark, d)[0]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

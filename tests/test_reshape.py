@@ -7,6 +7,7 @@ import pytest
 from mediaframe.functions.zones import zone_table
 from mediaframe.operators.timestamps import normalise_timestamps
 from mediaframe.operators.wide import cell_issues, widen
+from mediaframe.plans import training
 
 LABELS = [("Name", "text"), ("Size", "integer"), ("Taken", "moment")]
 SCHEMA = "path string, key_label string, value_label string, issue string, entity int"
@@ -38,6 +39,20 @@ def test_wide_empty_and_partitions(spark, rows):
     assert a == rows(widen(long(spark, data).repartition(17), LABELS)) and len(a) == 7
 
 
+def test_registered_wide_table_has_every_label(spark):
+    d = "/root/testdata/sf0.001"
+    wide = training.p1_wide(spark, d)
+    kinds = {r.key_label: r.value_type for r in spark.read.parquet(f"{d}/label_types.parquet").collect()}
+    typed = {"integer": "bigint", "text": "string", "moment": "timestamp_ntz", "time part": "string"}
+    assert dict(wide.dtypes) == {"path": "string", "unreadable": "array<string>", "conflict": "array<string>"} | {x: typed[k] for x, k in kinds.items()}
+    got = wide.collect()
+    for name, kind in kinds.items():
+        assert any(r[name] is not None for r in got), name
+    named = {(r.path, x) for r in got for x in r.unreadable + r.conflict if kinds[x] in ("integer", "text")}
+    assert named == {(r.path, r.key_label) for r in training.p1_found(spark, d).collect()}
+    assert all(r[x] is None for r in got for x in r.conflict)
+
+
 @pytest.mark.parametrize("text, want", [
     ("4 096", "4096"), ("[12]", "12"), ("(7,)", "7"), ("9'876'543", "9876543"), ("1-2", None), ("1.5", None), ("auto", None), ("ISO 400", "400"), ("007", "7"),
 ])
