@@ -3,7 +3,7 @@ import zlib
 
 from mediaframe.operators.hashing import image_values, quality_scores
 from mediaframe.sources import readers, sinks
-from mediaframe.sources.exif import decode, entries, exif_rows
+from mediaframe.sources.exif import TAGS, decode, entries, exif_rows, label_of
 from mediaframe.streaming.rescan import rescan
 
 
@@ -41,6 +41,53 @@ def test_exif(spark, rows):
     assert [r[2] for r in rows(exif_rows(files))] == ["0th Model", "0th Orientation"]
 
 
+#: The EXIF labels that the reference lists.
+LABELS = """0th: Artist, Bits per sample, Compression, Copyright, DateTime, ExifTag, GPSTag, Host computer, Image description, Image length, Image width,
+Make, Model, Orientation, Photometric interpretation, Planar configuration, Processing software, Rating, RatingPercent, Resolution unit,
+Samples per pixel, Software, Tile length, Tile width, YCbCr positioning; 1st: Compression, Image length, Image width, JPEGInterchangeFormat,
+JPEGInterchangeFormatLength, Orientation, Resolution unit, YCbCr positioning; Exif: Body serial number, Color space, Contrast, Custom rendered,
+DateTime digitized, DateTime original, Exposure mode, Exposure program, Flash, Focal length in 35mm film, Focal plane resolution unit,
+Gain control, ISO speed ratings, Image unique ID, Interoperability tag, Lens make, Lense model, Light source, Metering mode, Offset time,
+Offset time digitized, Offset time original, Pixel X dimension, Pixel Y dimension, Recommended exposure index, Saturation,
+Scene capture type, Sensing method, Sensitivity type, Sharpness, Sub seconds time, Sub seconds time digitized, Sub seconds time original,
+Subject area, Subject distance range, White balance; GPS: GPS DateStamp, GPS destination bearing reference, GPS geodetic datum,
+GPS image direction reference, GPS latitude reference, GPS longitude reference, GPS satellites, GPS speed reference"""
+
+
+def test_exif_labels_of_the_reference():
+    made = {f"{ifd} {label_of(name)}" for ifd, names in TAGS.items() for name in names.values()}
+    want = [f"{ifd} {x}" for part in LABELS.replace("\n", " ").split("; ") for ifd, xs in [part.split(": ")] for x in xs.split(", ")]
+    assert len(want) == 77 and set(want) <= made
+
+
+def directories(order):
+    """0th with Exif and GPS, Exif with Interop, then 1st; every entry fits its four bytes, but for one rational."""
+    short = lambda tag, v: struct.pack(order + "HHIHH", tag, 3, 1, v, 0)
+    long = lambda tag, v: struct.pack(order + "HHII", tag, 4, 1, v)
+    text = lambda tag, v: struct.pack(order + "HHI4s", tag, 2, len(v), v)
+    ifd = lambda next_, *e: struct.pack(order + "H", len(e)) + b"".join(e) + struct.pack(order + "I", next_)
+    first = ifd(200, long(34665, 60), long(34853, 130), short(60000, 7))
+    exif = ifd(0, text(42036, b"abc"), text(37521, b"12\0"), struct.pack(order + "HHII", 33434, 5, 1, 240), struct.pack(order + "HHIHH", 37396, 3, 2, 5, 6), long(40965, 160))
+    blocks = {8: first, 60: exif, 130: ifd(0, text(1, b"N\0")), 160: ifd(0, text(1, b"R98")), 200: ifd(0, short(259, 6)), 240: struct.pack(order + "II", 1, 50)}
+    out = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8).ljust(256, b"\0"))
+    for at, b in blocks.items():
+        out[at : at + len(b)] = b
+    return bytes(out)
+
+
+def test_exif_keeps_every_entry(spark, rows):
+    chunk = lambda k, d: k + struct.pack("<I", len(d)) + d + b"\0" * (len(d) % 2)
+    webp = b"WEBP" + chunk(b"VP8X", b"123") + chunk(b"EXIF", directories("<"))
+    files = spark.createDataFrame([("a", directories("<")), ("b", directories(">")), ("c", chunk(b"RIFF", webp))], "path string, content binary")
+    got = rows(exif_rows(files).select("path", "key_label", "value_label"))
+    want = {
+        "0th ExifTag": "60", "0th GPSTag": "130", "0th 60000": "7", "Exif Lense model": "abc", "Exif Sub seconds time original": "12",
+        "Exif Exposure time": "1/50", "Exif Subject area": "5, 6", "Exif Interoperability tag": "160", "GPS GPS latitude reference": "N",
+        "Interop Interoperability index": "R98", "1st Compression": "6",
+    }
+    assert got == sorted(((p, *x) for p in "abc" for x in want.items()), key=repr)
+
+
 def test_rescan_adds_only_new_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
