@@ -68,14 +68,17 @@ def cell_states(
 def _typed(kind: str, lo: pa.Array) -> tuple[pa.Array, pa.Array]:
     """(values, fits) of the readable texts of one attribute."""
     if kind == "integer":
-        fits = pc.fill_null(pc.less_equal(pc.utf8_length(lo), 18), False)
+        digits = pc.utf8_ltrim(lo, "-")
+        size = pc.utf8_length(digits)
+        top = pc.if_else(pc.starts_with(lo, "-"), "9223372036854775808", "9223372036854775807")
+        fits = pc.fill_null(pc.or_(pc.less(size, 19), pc.and_(pc.equal(size, 19), pc.less_equal(digits, top))), False)
         return pc.cast(pc.if_else(fits, lo, None), pa.int64()), fits
     if kind == "moment":
         return pc.cast(lo, pa.timestamp("us")), pc.is_valid(lo)
     return lo, pc.is_valid(lo)
 
 
-def _builder(labels: Sequence[tuple[str, str]], schema: pa.Schema):
+def _builder(labels: Sequence[tuple[str, str]], schema: pa.Schema, oversize: bool):
     names = pa.array([name for name, _ in labels], pa.string())
 
     def listed(n: int, row: np.ndarray, attr: np.ndarray, flag: np.ndarray) -> pa.Array:
@@ -93,16 +96,17 @@ def _builder(labels: Sequence[tuple[str, str]], schema: pa.Schema):
         lo, hi = t["lo"].combine_chunks(), t["hi"].combine_chunks()
         conflict = pc.fill_null(pc.not_equal(lo, hi), False).to_numpy(zero_copy_only=False)
         bad = pc.fill_null(t["bad"], False).to_numpy(zero_copy_only=False).astype(bool)
+        large = np.zeros(t.num_rows, bool)
         columns = [t["entity"].combine_chunks().take(pa.array(starts))]
         for i, (_, kind) in enumerate(labels):
             at = np.flatnonzero(attr == i)
             values, fits = _typed(kind, lo.take(pa.array(at)))
             keep = fits.to_numpy(zero_copy_only=False) & ~conflict[at]
-            bad[at] |= ~fits.to_numpy(zero_copy_only=False)
+            large[at] = pc.and_(pc.is_valid(lo.take(pa.array(at))), pc.invert(fits)).to_numpy(zero_copy_only=False) & ~conflict[at]
             slot = np.full(n, -1, np.int64)
             slot[row[at[keep]]] = np.flatnonzero(keep)
             columns.append(values.take(pa.array(slot, mask=slot < 0)))
-        columns += [listed(n, row, attr, bad), listed(n, row, attr, conflict)]
+        columns += [listed(n, row, attr, f) for f in ((bad, conflict, large) if oversize else (bad | large, conflict))]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,31 +136,33 @@ def widen(
     entity: str = "path",
     label: str = "key_label",
     value: str = "value_label",
+    oversize: bool = False,
 ) -> DataFrame:
     """One row per entity with one typed column per label, plus ``unreadable`` and ``conflict``: lists of labels.
 
     * Labels are equal irrespective of case and white space; rows with another label or a null entity are ignored.
     * Values lose outer white space and NULs; null and blank ones are ignored, an entity with nothing else has no row.
     * A cell is null if it has no readable value or if its readable values disagree; such cells are named.
-      Integers beyond 18 digits count as unreadable in the wide table only if they do not fit the column.
+      Integers that do not fit the column count as unreadable, or with ``oversize`` have a list of that name.
     * Repeated rows do not count twice; other columns of ``rows`` may have any name; an empty input gives no row.
     """
     spark = rows.sparkSession
     lists = T.ArrayType(T.StringType())
+    named = ["unreadable", "conflict", *["oversize"] * oversize]
     schema = T.StructType(
         [T.StructField(entity, T.StringType())]
         + [T.StructField(name, COLUMN_TYPES[kind][0]) for name, kind in labels]
-        + [T.StructField("unreadable", lists), T.StructField("conflict", lists)]
+        + [T.StructField(name, lists) for name in named]
     )
     arrow = pa.schema(
         [(entity, pa.string())]
         + [(name, COLUMN_TYPES[kind][1]) for name, kind in labels]
-        + [("unreadable", pa.list_(pa.string())), ("conflict", pa.list_(pa.string()))]
+        + [(name, pa.list_(pa.string())) for name in named]
     )
     states = cell_states(rows, labels, entity, label, value)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_entity = states.repartition(n, "entity").sortWithinPartitions("entity", "attr")
-    return by_entity.mapInArrow(_builder(list(labels), arrow), schema)
+    return by_entity.mapInArrow(_builder(list(labels), arrow, oversize), schema)
 
 
 def cell_issues(wide: DataFrame, labels: Sequence[tuple[str, str]], entity: str = "path") -> DataFrame:

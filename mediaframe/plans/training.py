@@ -13,7 +13,7 @@ from mediaframe.plans.tables import table
 
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:
     labels = read_labels(table(spark, d, "label_types"))
-    return widen(table(spark, d, "meta_stats"), labels), labels
+    return widen(table(spark, d, "meta_stats"), labels, oversize=True), labels
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
-    """All labels as typed columns, and the lists ``unreadable`` and ``conflict`` of the cells that have no one value."""
+    """All labels as typed columns, and the lists ``unreadable``, ``conflict`` and ``oversize`` of the cells without value."""
     return _wide(spark, d)[0]
 
 

@@ -39,12 +39,26 @@ def test_wide_empty_and_partitions(spark, rows):
     assert a == rows(widen(long(spark, data).repartition(17), LABELS)) and len(a) == 7
 
 
+def test_wide_integers_of_any_size(spark, rows):
+    data = [
+        ("a", "Size", "9223372036854775807"), ("b", "Size", "-9223372036854775808"), ("c", "Size", "9223372036854775808"), ("d", "Size", "9" * 30),
+        ("e", "Size", "9" * 30), ("e", "Size", "x"), ("f", "Size", "9" * 30), ("f", "Size", "8" * 30), ("g", "Size", "-9223372036854775809"),
+    ]
+    wide = widen(long(spark, data), LABELS, oversize=True)
+    got = {r.path: (r.Size, r.unreadable, r.conflict, r.oversize) for r in wide.collect()}
+    assert got == {
+        "a": (2**63 - 1, [], [], []), "b": (-(2**63), [], [], []), "c": (None, [], [], ["Size"]), "d": (None, [], [], ["Size"]),
+        "e": (None, ["Size"], [], ["Size"]), "f": (None, [], ["Size"], []), "g": (None, [], [], ["Size"]),
+    }
+    assert rows(cell_issues(wide, LABELS)) == [("e", "Size", "unreadable"), ("f", "Size", "conflict")]
+
+
 def test_registered_wide_table_has_every_label(spark):
     d = "/root/testdata/sf0.001"
     wide = training.p1_wide(spark, d)
     kinds = {r.key_label: r.value_type for r in spark.read.parquet(f"{d}/label_types.parquet").collect()}
     typed = {"integer": "bigint", "text": "string", "moment": "timestamp_ntz", "time part": "string"}
-    assert dict(wide.dtypes) == {"path": "string", "unreadable": "array<string>", "conflict": "array<string>"} | {x: typed[k] for x, k in kinds.items()}
+    assert dict(wide.dtypes) == {"path": "string", "unreadable": "array<string>", "conflict": "array<string>", "oversize": "array<string>"} | {x: typed[k] for x, k in kinds.items()}
     got = wide.collect()
     for name, kind in kinds.items():
         assert any(r[name] is not None for r in got), name
