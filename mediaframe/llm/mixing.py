@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaframe.functions.text import source_key, token_count
+from mediaframe.session import stage, unstage
 
 #: Sources and membership patterns become vertices of a graph on the driver; more than this is an error.
 MAX_PATTERNS = 10_000
@@ -149,20 +150,15 @@ def pattern_sums(measured: DataFrame) -> dict[tuple[str, ...], int]:
     return {tuple(r.pattern): int(r.tokens or 0) for r in sums}
 
 
-def mix_report(
-    spark: SparkSession, documents: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id"
-) -> DataFrame:
-    """(source, quota_tokens, own_tokens, routed_tokens, routed_share, reaches): one row per source of the mix.
-
-    The quota is the target share of the tokens of all documents in the mix.  Null texts have no tokens; documents
-    whose source is null or not in the mix do not take part; without documents every quota is 0 and reached."""
-    sources = read_sources(mix)
-    sums = pattern_sums(measure(documents, sources, text, source, key))
+def _routed(spark: SparkSession, mix: DataFrame, sources: list[Source], measured: DataFrame) -> DataFrame:
+    """(key, source, quota_tokens, own_tokens, routed_tokens, routed_share, reaches): one row per source of the mix."""
+    sums = pattern_sums(measured)
     _, quota, reached = route(sources, sums)
     names = dict(mix.select(source_key(F.col("source")), "source").filter("source is not null").limit(MAX_PATTERNS).collect())
     got = sum(reached.values()) or Fraction(1)
     rows = [
         (
+            s.name,
             names[s.name],
             float(quota[s.name]),
             sum(v for k, v in sums.items() if s.name in k),
@@ -172,10 +168,32 @@ def mix_report(
         )
         for s in sources
     ]
-    schema = "source string, quota_tokens double, own_tokens bigint, routed_tokens double, routed_share double, reaches boolean"
+    schema = "key string, source string, quota_tokens double, own_tokens bigint, routed_tokens double, routed_share double, reaches boolean"
     return spark.createDataFrame(rows, schema)
 
 
+def mix_report(
+    spark: SparkSession, documents: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0
+) -> DataFrame:
+    """(source, quota_tokens, own_tokens, routed_tokens, routed_share, reaches, chosen_tokens, chosen_share): one row per source.
+
+    The quota is the target share of the tokens of all documents in the mix.  Null texts have no tokens; documents
+    whose source is null or not in the mix do not take part; without documents every quota is 0 and reached.
+    The routed amounts and ``reaches`` are those of the flow, which may end inside a document; the chosen ones are those
+    of the whole documents that ``select_documents`` takes with the same seed."""
+    sources = read_sources(mix)
+    measured = stage(measure(documents, sources, text, source, key), "mix")
+    chosen = select_documents(documents, mix, seed, text, source, "key", measured)
+    sums = {r.source: int(r.n) for r in chosen.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("n")).collect()}
+    got = sum(sums.values()) or 1
+    picked = spark.createDataFrame(
+        [(s.name, sums.get(s.name, 0), sums.get(s.name, 0) / got) for s in sources], "key string, chosen_tokens bigint, chosen_share double"
+    )
+    out = _routed(spark, mix, sources, measured).join(F.broadcast(picked), "key").drop("key")  # one row per source
+    unstage(measured)
+    return out
+
+
 def select_documents(
     documents: DataFrame,
     mix: DataFrame,
@@ -227,4 +245,5 @@ def select_documents(
 
 def unreachable_sources(spark: SparkSession, documents: DataFrame, mix: DataFrame) -> DataFrame:
     """(source): the sources whose quota the flow cannot fill even with every allowed repetition."""
-    return mix_report(spark, documents, mix).filter("not reaches").select("source")
+    sources = read_sources(mix)
+    return _routed(spark, mix, sources, measure(documents, sources, "text", "source", "doc_id")).filter("not reaches").select("source")

@@ -126,6 +126,18 @@ def test_mixing(spark):
     assert select_documents(df.limit(0), mix).collect() == []
 
 
+def test_mix_report_counts_the_chosen_documents(spark):
+    docs = [(i, "w " * 30, "a") for i in range(7)] + [(100 + i, "w " * 40, "b") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    mix = spark.createDataFrame([("a", 0.51, 2, 9, 0), ("b", 0.49, 1, 9, 0), ("c", 0.0, 1, 9, 0)], MIX)
+    chosen = select_documents(df, mix, 3).collect()
+    want = {s: sum(c.uses * c.tokens for c in chosen if c.source == s) for s in "abc"}
+    r = {x.source: x for x in mix_report(spark, df, mix, seed=3).collect()}
+    assert {s: x.chosen_tokens for s, x in r.items()} == want and want["a"] < r["a"].routed_tokens
+    assert all(abs(x.chosen_share - want[s] / sum(want.values())) < 1e-12 for s, x in r.items())
+    assert [x.chosen_tokens for x in mix_report(spark, df.limit(0), mix).collect()] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("limit, overlap", [(8, 0), (8, 3), (20, 5), (3, 5), (1, 0)])
 def test_split_text(limit, overlap):
     text = "One two. Three four five!\n\nSix seven\neight " + "nine " * 30 + "。終わり。 End?"
