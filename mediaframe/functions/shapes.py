@@ -14,8 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 
-#: Month names (fixed values): English names, told apart by their first three letters.
-MONTHS = {m.lower(): i + 1 for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())}
+#: Month names (fixed values): English, German, French and Spanish ones, told apart by their first letters without marks.
+MONTHS = {m.lower(): i + 1 for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())} | {
+    "ene": 1, "fev": 2, "avr": 4, "abr": 4, "mai": 5, "juin": 6, "juil": 7, "aou": 8, "ago": 8, "okt": 10, "dez": 12, "dic": 12,
+}
 UTC_NAMES = {"z", "utc", "gmt", "ut"}
 MAX_OFFSET, MIN_OFFSET = 14 * 3600, -12 * 3600
 US = 1_000_000
@@ -23,16 +25,17 @@ US = 1_000_000
 _TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?"
 _AMPM = r"(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?"
 _ZONE = r"(?:\s*(?P<z>[Zz]|(?:UTC|GMT|UT|utc|gmt)?\s*[+-]\d{1,2}(?::?\d{2})?|UTC|GMT|UT|utc|gmt))?"
-_NAME = r"(?P<mon>[A-Za-z]{3,9})\.?"
+_NAME = r"(?P<mon>[^\W\d_]{3,10})\.?"
+_DAY_NAME = r"(?:[^\W\d_]{2,10}\.?,?\s+)?"
 _CLOCK = rf"(?:[T\s]\s*|,\s*){_TIME}{_AMPM}{_ZONE}"
-#: Notations, tried in this order on one sample of each mask.
+#: Notations, tried in this order.
 FAMILIES = [
     rf"(?P<y>\d{{4}})[:\-/.](?P<mo>\d{{1,2}})[:\-/.](?P<d>\d{{1,2}}){_CLOCK}",
     rf"(?P<d>\d{{1,2}})[:\-/.](?P<mo>\d{{1,2}})[:\-/.](?P<y>\d{{4}}){_CLOCK}",
     rf"(?P<y>\d{{4}})(?P<mo>\d{{2}})(?P<d>\d{{2}})[T\s_-]?(?P<h>\d{{2}})(?P<mi>\d{{2}})(?:(?P<s>\d{{2}})(?:[.,](?P<f>\d+))?)?{_ZONE}",
-    rf"(?:[A-Za-z]{{3,9}}\.?,?\s+)?{_NAME}\s+(?P<d>\d{{1,2}})\s+{_TIME}{_AMPM}{_ZONE}\s+(?P<y>\d{{4}})",
-    rf"(?:[A-Za-z]{{3,9}}\.?,?\s+)?{_NAME}\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}}){_CLOCK}",
-    rf"(?:[A-Za-z]{{3,9}}\.?,?\s+)?(?P<d>\d{{1,2}})\.?[\s-]{_NAME}[\s-](?P<y>\d{{4}}){_CLOCK}",
+    rf"{_DAY_NAME}{_NAME}\s+(?P<d>\d{{1,2}})\s+{_TIME}{_AMPM}{_ZONE}\s+(?P<y>\d{{4}})",
+    rf"{_DAY_NAME}{_NAME}\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}}){_CLOCK}",
+    rf"{_DAY_NAME}(?P<d>\d{{1,2}})\.?[\s-]{_NAME}[\s-](?P<y>\d{{4}}){_CLOCK}",
     rf"(?P<y>\d{{4}})[\s-]{_NAME}[\s-](?P<d>\d{{1,2}}){_CLOCK}",
     r"(?P<epoch>\d{10}|\d{13}|\d{16}|\d{19})",
 ]
@@ -65,16 +68,17 @@ def parser_for(mask: str) -> tuple[re.Pattern, ...]:
 
 
 def _compile(mask: str) -> tuple[re.Pattern, ...]:
-    probe = [mask.replace("A", a) for a in ("Jan", "T", "Z", "AM", "UTC", "Mon Jan")]
-    pieces = re.split("(A)", mask)
-    if mask.count("A") > 1:  # combinations of what letter runs can mean
-        words = ["Mon", "Jan", "T", "Z", "AM", "UTC", "GMT"]
-        probe = [""]
-        for p in pieces:
-            probe = [x + w for x in probe for w in (words if p == "A" else [p])][:5000]
-    return tuple(
-        re.compile(f) for f in FAMILIES if any(re.fullmatch(f, x) for x in probe)
-    )
+    # without letters the mask is itself a text of its kind; what letters mean only the texts can tell
+    free = any(c.isalpha() for c in mask)
+    return tuple(re.compile(f) for f in FAMILIES if free or re.fullmatch(f, mask))
+
+
+def month_of(names: pd.Series) -> np.ndarray:
+    """Numbers of month names, -1 where unknown."""
+    codes, distinct = pd.factorize(names.to_numpy(object))
+    bare = ["".join(c for c in unicodedata.normalize("NFKD", x) if c.isalpha()).lower() for x in distinct]
+    numbers = [MONTHS.get(x[:4], MONTHS.get(x[:3], -1)) for x in bare]
+    return np.array([*numbers, -1], np.int64)[codes]
 
 
 @dataclass
@@ -149,7 +153,7 @@ def _fill(out: Parsed, at: np.ndarray, got: pd.DataFrame) -> None:
         return
     col = lambda name: got[name] if name in got else pd.Series([None] * len(got), index=got.index, dtype=object)
     year, day, hour, minute = (_numbers(col(k)) for k in ("y", "d", "h", "mi"))
-    month = _numbers(col("mo")) if "mo" in got else col("mon").str[:3].str.lower().map(MONTHS).fillna(-1).to_numpy(np.int64)
+    month = _numbers(col("mo")) if "mo" in got else month_of(col("mon"))
     second = _numbers(col("s"), 0)
     half = col("ap").str.lower()
     is12 = half.notna().to_numpy()

@@ -2,8 +2,10 @@ from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from mediaframe.functions.shapes import clean, parse_moments
 from mediaframe.functions.zones import zone_table
 from mediaframe.operators.timestamps import normalise_timestamps
 from mediaframe.operators.wide import cell_issues, widen
@@ -108,6 +110,23 @@ def test_timestamps(spark):
     assert times(spark, [], homes) == {}
 
 
+@pytest.mark.parametrize("text, seconds", [
+    ("2021:03:05 10:00:00 p.m.", 79200), ("2021:03:05 10:00:00 A.M.", 36000), ("Fri, Mar 5 10:00:00 P.M. GMT 2021", 79200),
+    ("Fr., 5. März 2021 10:00", 36000), ("5 mars 2021 10:00:00", 36000), ("Freitag, Marz 5, 2021 10:00:00 p.m. UTC", 79200),
+    ("Fri, Maz 5, 2021 10:00", None), ("x.y.z.x.y.z.x.y 5 Mar 2021", None), ("2021:03:05 10:00:00 x.m.", None),
+])
+def test_moments_with_letters(text, seconds):
+    got = parse_moments(clean(pd.Series([text, "unknown"])))
+    day = int(datetime(2021, 3, 5, tzinfo=timezone.utc).timestamp())
+    assert not got.valid[1] and (got.seconds[0] - day if got.valid[0] else None) == seconds
+
+
+@pytest.mark.parametrize("name, month", [("juin", 6), ("juillet", 7), ("August", 8), ("août", 8), ("Dezember", 12), ("septiembre", 9), ("enero", 1), ("févr.", 2)])
+def test_month_names(name, month):
+    got = parse_moments(clean(pd.Series([f"5 {name} 2021 00:00"])))
+    assert got.valid[0] and got.seconds[0] == datetime(2021, month, 5, tzinfo=timezone.utc).timestamp()
+
+
 @pytest.mark.parametrize("zone", ["Europe/Berlin", "Australia/Lord_Howe", "Asia/Kathmandu", "America/New_York"])
 def test_zone_table_agrees_with_zoneinfo(zone):
     rng = np.random.default_rng(0)
