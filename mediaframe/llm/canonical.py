@@ -25,6 +25,8 @@ NO_MAKER = ("", "unknown", "na", "n a", "none", "null", "nan", "no name availabl
 MAKER_EDITS = 3
 #: Rows of reference segments that may be broadcast; beyond, the join shuffles.
 MAX_BROADCAST = 500_000
+#: Grades (fixed values) that end a name without a number and must be equal.
+_GRADED = r"^([a-z ]*?[a-z]{3})((?: *(?:pro|lite|plus|max|mini|ultra))+)$"
 _ROMAN = {"iii": "3", "ii": "2", "iv": "4", "vi": "6", "v": "5", "i": "1"}
 
 
@@ -47,12 +49,18 @@ def plain_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(x, " +", " "))
 
 
-def _letters(plain: Column) -> Column:
+def _words(plain: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(plain, r"^((?:[a-z]+(?: |$))*)", 1), " ", "")
 
 
+def _letters(plain: Column) -> Column:
+    return _words(F.when(plain.rlike(_GRADED), F.regexp_extract(plain, _GRADED, 1)).otherwise(plain))
+
+
 def _signature(plain: Column) -> Column:
-    return F.regexp_replace(plain, r"^(?:[a-z]+(?: |$))*", "")
+    """What must be equal: all from the first number on, or else the grade; '' if there is neither."""
+    grade = F.regexp_replace(F.regexp_extract(plain, _GRADED, 2), " ", "")
+    return F.when(plain.rlike(_GRADED), grade).otherwise(F.regexp_replace(plain, r"^(?:[a-z]+(?: |$))*", ""))
 
 
 def reference_names(reference: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def reference_names(reference: DataFrame) -> DataFrame:
     return (
         reference.select("model_id", plain_name(F.col("maker")).alias("mk"), F.explode(forms).alias("plain"))
         .filter("plain is not null and plain <> ''")
-        .select("model_id", _letters(F.col("mk")).alias("maker_letters"), _letters(F.col("plain")).alias("letters"), _signature(F.col("plain")).alias("sig"))
+        .select("model_id", _words(F.col("mk")).alias("maker_letters"), _letters(F.col("plain")).alias("letters"), _signature(F.col("plain")).alias("sig"))
         .distinct()
     )
 
@@ -110,7 +118,7 @@ def match_names(items: DataFrame, reference: DataFrame) -> DataFrame:
     side = lambda text, other: F.struct(F.col(text).alias("plain"), F.col(other).alias("other"))
     texts = both.select("maker", "model", F.explode(F.array(side("pn", "pm"), side("pm", "pn"))).alias("x")).select(
         "maker", "model", _letters(F.col("x.plain")).alias("letters"), _signature(F.col("x.plain")).alias("sig"), F.col("x.other").alias("other")
-    ).filter("sig rlike '[0-9]'")
+    )
     texts = texts.selectExpr(  # a letter glued to the word before may belong to the number
         "maker", "model", "other",
         """inline(array_compact(array(

@@ -61,6 +61,17 @@ def test_canonical(spark, rows):
     assert {r[1] for r in rows(map_to_canonical(df, cat.limit(0)))} == {0}
 
 
+def test_canonical_names_without_numbers(spark, rows):
+    ref = [(1, "Velmora", "Emberstone Pro", None, None), (2, "Velmora", "Emberstone", None, "VEE-1"), (3, "Sinclair", "Stonecrop", "Kazenoko", None)]
+    items = [
+        ("Velmora", "emberstone pro"), ("Velmora", "Embertsone"), ("Velmora", "Emberstone Lite"), ("Velmora", "EmberstonePro"), ("Sinclair", "Emberstone Pro"),
+        (None, "KAZENOKO"), ("Kestrin", "Stonecrop"), ("Velmora", "Emberstone Pro 2"), ("Velmora", "Velmora"), ("sinclair", "Stoncrop camera"),
+    ]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(items)], "item_id bigint, maker string, model string")
+    cat = spark.createDataFrame(ref, "model_id bigint, maker string, model string, alias string, model_code string")
+    assert dict(rows(map_to_canonical(df, cat))) == {0: 1, 1: 2, 2: 0, 3: 1, 4: 0, 5: 3, 6: 0, 7: 0, 8: 0, 9: 3}
+
+
 def test_frequency(spark, rows):
     data = [(f"p{i}", " A B\0" if i else "a b", "L") for i in range(5)] + [("p1", "A b", " l "), ("q", None, "L"), ("q", " ", "L"), (None, "z", "L"), ("q", "C", "L")]
     df = spark.createDataFrame([(*x, 1) for x in data], "path string, value_label string, key_label string, n int")
