@@ -1,28 +1,37 @@
 """Deduplicating new batches against all history.
 
 A 256-bit hash is a set of 12 tokens: its segments, three per 64-bit word (22, 21 and 21 bits), each with its place.
-Two hashes within 10 bits differ in at most 10 segments, so they share at least 2 of 12 tokens, and any 11 tokens of
-one of them hold a shared one.  The index keeps, for each accepted hash, its 11 rarest tokens as postings in a table
-bucketed by token; a batch probes it with its own tokens, so the index is joined in place and never shuffled or
-rebuilt.  Candidates pass a length filter (numbers of set bits differ by at most 10) and an exact check.  Accepted
-rows are appended, rejected ones never enter the index.
+Two hashes within 10 bits differ in at most 10 segments, so they share at least 2 of 12 tokens.  All hashes of an index
+order their tokens in one way, rare before frequent, so the 11 rarest tokens of both hold a shared one: these prefixes
+are all that is stored and all that is looked up.  A token that is frequent in itself is not looked up alone but
+together with each other token of the hash (the second shared one is among them), which splits its posting list.
+
+The index is a folder: the order of the tokens, fixed when it is founded, and one generation of postings per load, laid
+out in parts by key.  A load reads only the parts of its own keys, checks lengths (numbers of set bits differ by at
+most 10) and distances, and appends the postings of the hashes it accepts.  Rejected rows never enter the index.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mediaframe.session import delete_path, release, stage, staged_path, staged_union, unstage
+from mediaframe.session import delete_path, stage, staged_path, unstage
 
 BITS = 256
 MAX_DISTANCE = 10
 _WIDTHS = (22, 21, 21)
 SEGMENTS = 12
 PREFIX = SEGMENTS - (SEGMENTS - MAX_DISTANCE) + 1
+#: Occurrences from which a token is looked up in pairs only.
+HOT_ROWS = 1000
 _WORDS = ["w0", "w1", "w2", "w3"]
+_ROW = ["id", *_WORDS, "ones"]
+_STEP = [T.StructField("step", T.StringType()), T.StructField("waits", T.BooleanType())]
+_POSTING = "id bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, ones int, key bigint, part int"
 
 
 def words_of(hash_: Column) -> list[Column]:
@@ -52,127 +61,219 @@ def _near(a: str, b: str) -> Column:
     return (F.abs(F.col(f"{a}.ones") - F.col(f"{b}.ones")) <= MAX_DISTANCE) & (_distance(a, b) <= MAX_DISTANCE)
 
 
+def _valid(rows: DataFrame) -> DataFrame:
+    return rows.filter("hash is not null and length(hash) = 32 and id is not null")
+
+
+def _representatives(valid: DataFrame) -> DataFrame:
+    """One row per load and distinct hash, under its smallest id, with words, number of set bits and tokens."""
+    reps = valid.groupBy("load", "hash").agg(F.min("id").alias("id")).select("load", "hash", "id", *words_of(F.col("hash")))
+    ones = sum((F.bit_count(F.col(w)) for w in _WORDS[1:]), F.bit_count(F.col("w0")))
+    return reps.withColumn("ones", ones).withColumn("tokens", tokens_of())
+
+
+def token_order(reps: DataFrame) -> DataFrame:
+    """(token, n) of the tokens that occur more than once; the others are rarer than these, by their number."""
+    return reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def _with_keys(reps: DataFrame, order: DataFrame, hot_rows: int) -> DataFrame:
+    """The representatives with the keys of their prefix.
+
+    The prefix leaves out the most frequent token.  A token below ``hot_rows`` is its own key, one above makes a key
+    with each of the other 11 tokens."""
+    found = reps.select("load", "id", F.explode("tokens").alias("token")).join(order, "token")
+    hot = F.collect_set(F.when(F.col("n") >= hot_rows, F.col("token")))  # at most 12
+    found = found.groupBy("load", "id").agg(F.max(F.struct("n", "token")).alias("x"), hot.alias("hot"))
+    found = found.select("load", "id", F.col("x.token").alias("drop"), "hot")
+    pair = lambda t, u: F.shiftleft(t + 1, 26).bitwiseOR(u)
+    pairs = lambda t: F.transform(F.array_remove("tokens", t), lambda u: pair(t, u))
+    keys = lambda t: F.when(F.array_contains("hot", t), pairs(t)).otherwise(F.array(t))
+    rows = reps.join(found, ["load", "id"], "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
+    prefix = F.array_remove("tokens", F.coalesce("drop", F.element_at("tokens", -1)))
+    return rows.select("load", "hash", *_ROW, F.flatten(F.transform(prefix, keys)).alias("keys"))
+
+
 class HashIndex:
-    """Inverted index of the accepted hashes, kept as a table bucketed by token in the shared folder.
+    """Inverted index of the accepted hashes in a folder; opening a path again continues with what it holds.
 
-    ``ingest`` takes one batch; what earlier batches left behind is only touched at the tokens of the batch's buckets.
-    A batch that fails before its append leaves the index as it was."""
+    ``ingest`` takes one batch.  A batch that fails before the end of its append leaves the index as it was, since only
+    finished generations are read.  ``parts`` is fixed when the folder is founded."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 16, hot_rows: int = HOT_ROWS):
         self.spark = spark
         self.path = path or staged_path(spark, "hash-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = f"hash_index_{uuid.uuid4().hex}"
-        self.empty = True
-
-    def postings(self) -> DataFrame:
-        return self.spark.table(self.table)
+        self.parts, self.hot_rows = parts, hot_rows
+        for name in self._folders():
+            if m := re.fullmatch(r"order-(\d+)-(\d+)", name):
+                self.parts, self.hot_rows = int(m[1]), int(m[2])
+
+    def _files(self):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _folders(self) -> list[str]:
+        """Finished folders of the index: those in which a write has left its mark."""
+        path, fs, at = self._files()
+        if not fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return sorted(n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    @property
+    def _order_path(self) -> str:
+        return f"{self.path}/order-{self.parts}-{self.hot_rows}"
+
+    def _generations(self) -> list[str]:
+        return [n for n in self._folders() if n.startswith("gen=")]
+
+    def found(self, reps: DataFrame) -> None:
+        """Fix the order of the tokens by their counts in the first rows, unless the folder has one already.
+
+        Later rows are ordered by the same counts: that keeps results exact and only affects the length of lists."""
+        if self._order_path.rsplit("/", 1)[1] not in self._folders():
+            token_order(reps).write.mode("overwrite").parquet(self._order_path)
+
+    def keyed(self, reps: DataFrame) -> DataFrame:
+        order = self.spark.read.schema("token bigint, n bigint").parquet(self._order_path)
+        return _with_keys(reps, order, self.hot_rows)
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+
+    def postings(self, parts: list[int] | None = None) -> DataFrame | None:
+        """The postings, of the given parts only; None if there are none yet."""
+        gens = self._generations()
+        if not gens:
+            return None
+        reader = self.spark.read.schema(_POSTING).option("basePath", self.path)
+        rows = reader.parquet(*[f"{self.path}/{g}" for g in gens])
+        return rows if parts is None or len(parts) == self.parts else rows.filter(F.col("part").isin(parts))
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The parts in which the keys of the rows lie; at most ``parts`` numbers."""
+        return sorted(r[0] for r in rows.select(F.explode(F.transform("keys", self._part))).distinct().collect())
 
     def append(self, accepted: DataFrame) -> None:
-        """Add the 11 rarest tokens of each accepted hash."""
-        rows = accepted.select("id", *_WORDS, "ones", F.explode("prefix").alias("token"))
-        writer = rows.repartition(self.buckets, "token").write.bucketBy(self.buckets, "token").sortBy("token")
-        writer.format("parquet").option("path", self.path).mode("append").saveAsTable(self.table)
-        self.empty = False
+        """Add the prefix keys of the accepted hashes as one more generation; large parts are written by several tasks."""
+        rows = accepted.select(*_ROW, F.explode("keys").alias("key")).withColumn("part", self._part(F.col("key")))
+        number = 1 + max((int(g.split("=")[1]) for g in self._generations()), default=-1)
+        rows.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/gen={number:08d}")
 
     def drop(self) -> None:
-        if not self.empty:
-            self.spark.sql(f"drop table if exists {self.table}")
         delete_path(self.spark, self.path)
 
-    def decide(self, rows: DataFrame) -> DataFrame:
-        """The prepared rows of one batch with a verdict each; accepted ones join the index."""
-        if self.empty:
+    def decide(self, rows: DataFrame, rounds: _Rounds) -> None:
+        """Write the keyed rows of one load with a verdict each to ``rounds``; accepted ones join the index."""
+        begin = rounds.steps
+        held = self.postings(self.touched(rows)) if self._generations() else None
+        if held is None:
             open_ = rows.withColumn("kept", F.lit(None).cast("bigint"))
         else:
-            probe = rows.select("id", *_WORDS, "ones", F.explode("tokens").alias("token"))
-            a = probe.repartition(self.buckets, "token").alias("a").hint("shuffle_hash")
-            near = a.join(self.postings().alias("b"), F.col("a.token") == F.col("b.token")).filter(_near("a", "b"))
+            probe = rows.select(*_ROW, F.explode("keys").alias("key")).alias("a").hint("merge")
+            near = probe.join(held.alias("b"), F.col("a.key") == F.col("b.key")).filter(_near("a", "b"))
             hits = near.groupBy("a.id").agg(F.min("b.id").alias("kept"))
-            open_ = rows.join(hits.hint("shuffle_hash"), "id", "left")
-        state = _first_come(open_.withColumn("verdict", F.when(F.col("kept").isNotNull(), "old")))
-        self.append(state.filter("verdict = 'accepted'"))
-        release(self.spark)
-        return state
+            open_ = rows.join(hits.hint("merge"), "id", "left")
+        columns = [*rows.columns, "kept"]
+        _first_come(open_.select(*columns, F.when(F.col("kept").isNotNull(), "old").alias("verdict")), rounds)
+        self.append(rounds.read(False, begin).filter("verdict = 'accepted'"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """(kept_id, dup_id) of the rejected rows of one batch, given as (id, hash); accepted ones join the index.
 
-        Rows without a hash of 32 bytes are skipped.  Within the batch rows are taken in the order of their ids."""
-        valid = _valid(batch.select("id", "hash", F.lit(0).cast("bigint").alias("b")))
-        rows = stage(_prepare(valid), "batch")
-        return stage(_decisions(valid, self.decide(rows)), "duplicates")
+        Rows without a hash of 32 bytes are skipped.  Within the batch rows are taken in the order of their ids, which
+        have to be greater than those of the batches before."""
+        valid = _valid(batch.select("id", "hash", F.lit(0).alias("load")))
+        reps = _representatives(valid)
+        self.found(reps)
+        rows = stage(self.keyed(reps), "batch")
+        rounds = _Rounds(self.spark)
+        self.decide(rows, rounds)
+        out = stage(_decisions(valid, rounds.read(False)), "duplicates")
+        unstage(rows)
+        rounds.drop()
+        return out
 
 
-def _valid(rows: DataFrame) -> DataFrame:
-    return rows.filter("hash is not null and length(hash) = 32 and id is not null")
+def _decisions(valid: DataFrame, states: DataFrame) -> DataFrame:
+    """(kept_id, dup_id) from the verdicts: copies follow their hash, rejected hashes look up the smallest accepted
+    one of their load near them, those rejected by an older load know theirs."""
+    at = states.select("load", *_ROW, "verdict", F.explode("keys").alias("key"))
+    a, b = at.filter("verdict = 'rejected'").alias("a").hint("merge"), at.filter("verdict = 'accepted'").alias("b")
+    same = (F.col("a.load") == F.col("b.load")) & (F.col("a.key") == F.col("b.key"))
+    inner = a.join(b, same).filter(_near("a", "b") & (F.col("b.id") < F.col("a.id")))
+    inner = inner.groupBy("a.load", "a.id").agg(F.min("b.id").alias("kept_here"))
+    reps = states.select("load", "hash", "id", "kept").join(inner, ["load", "id"], "left")
+    copies = valid.select("load", "hash", F.col("id").alias("dup_id"))
+    out = copies.join(reps, ["load", "hash"]).select(F.coalesce("kept", "kept_here", "id").alias("kept_id"), "dup_id")
+    return out.filter("kept_id <> dup_id")
 
 
-def _prepare(valid: DataFrame) -> DataFrame:
-    """One row per batch and distinct hash, under its smallest id, with words, tokens and its 11 rarest tokens.
+class _Rounds:
+    """The rows of one or several loads by step and by whether they still wait, as one table in the shared folder."""
 
-    Rarity is counted over the batch; which token is left out only changes the work, never the result, because
-    whatever 11 tokens a posting has, a probe with all 12 finds it."""
-    reps = valid.groupBy("b", "hash").agg(F.min("id").alias("id"))
-    rows = reps.select("b", "hash", "id", *words_of(F.col("hash")))
-    ones = sum((F.bit_count(F.col(w)) for w in _WORDS[1:]), F.bit_count(F.col("w0")))
-    rows = rows.withColumn("ones", ones).withColumn("tokens", tokens_of())
-    counts = rows.select("b", "id", F.explode("tokens").alias("token"))
-    frequent = counts.groupBy("b", "token").agg(F.count("*").alias("n")).filter("n > 1")
-    worst = counts.join(frequent, ["b", "token"]).groupBy("b", "id").agg(F.max(F.struct("n", "token")).alias("x"))
-    worst = worst.select("b", "id", F.col("x.token").alias("drop"))
-    last = F.element_at("tokens", -1)
-    rows = rows.join(worst, ["b", "id"], "left").withColumn("prefix", F.array_remove("tokens", F.coalesce("drop", last)))
-    return rows.select("hash", "id", *_WORDS, "ones", "tokens", "prefix", "b")
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.steps = spark, staged_path(spark, "rounds"), 0
+        self.schema = T.StructType()
 
+    def add(self, rows: DataFrame) -> int:
+        """Write one step and return how many of its rows wait."""
+        seen_by = Observation()
+        counted = rows.withColumn("waits", F.col("verdict").isNull()).observe(seen_by, F.count_if("waits").alias("n"))
+        counted.write.partitionBy("waits").parquet(f"{self.root}/step={self.steps:06d}")
+        self.schema, self.steps = T.StructType([*rows.schema, *_STEP]), self.steps + 1
+        return seen_by.get["n"]
 
-def _decisions(valid: DataFrame, states: DataFrame) -> DataFrame:
-    """(kept_id, dup_id) from the verdicts: copies follow their hash, rejected hashes look up the smallest accepted
-    one of their batch near them, those rejected by an older batch know theirs."""
-    column = ["b", "id", *_WORDS, "ones"]
-    a = states.filter("verdict = 'rejected'").select(*column, F.explode("tokens").alias("token")).alias("a")
-    b = states.filter("verdict = 'accepted'").select(*column, F.explode("prefix").alias("token")).alias("b")
-    same = (F.col("a.b") == F.col("b.b")) & (F.col("a.token") == F.col("b.token"))
-    inner = a.join(b, same).filter(_near("a", "b") & (F.col("b.id") < F.col("a.id")))
-    inner = inner.groupBy("a.b", "a.id").agg(F.min("b.id").alias("kept_here"))
-    reps = states.select("b", "hash", "id", "kept").join(inner, ["b", "id"], "left")
-    copies = valid.select("b", "hash", F.col("id").alias("dup_id"))
-    out = copies.join(reps, ["b", "hash"]).select(F.coalesce("kept", "kept_here", "id").alias("kept_id"), "dup_id")
-    return out.filter("kept_id <> dup_id")
+    def read(self, waits: bool, since: int = 0) -> DataFrame:
+        """The waiting or the decided rows of the steps from ``since`` on; only their files are read."""
+        paths = [f"{self.root}/step={i:06d}" for i in range(since, self.steps)]
+        rows = self.spark.read.schema(self.schema).option("basePath", self.root).parquet(*paths)
+        return rows.filter(F.col("waits") == waits).drop("step", "waits")
 
+    def drop(self) -> None:
+        delete_path(self.spark, self.root)
 
-def _first_come(rows: DataFrame) -> DataFrame:
-    """The rows with a verdict each: ``accepted`` or ``rejected`` where no earlier batch decided.
 
-    In each round every row looks only at the first row under each of its tokens, so no list of candidates is ever
+def _first_come(rows: DataFrame, rounds: _Rounds) -> None:
+    """Give each row a verdict: ``accepted`` or ``rejected`` where the index did not decide.
+
+    In each round every row looks only at the first row under each of its keys, so no list of candidates is ever
     spread out.  A row that is the first everywhere is accepted; rows near an accepted first row are rejected; the
-    others wait for the next round, which is checkpointed as a table.  The smallest waiting row is always decided.
-    The joins meet on keys that are hashed anyway, so nothing is broadcast through the driver."""
-    state, waiting = None, -1
+    others wait for the next round, which reads only what still waits.  The smallest waiting row is always decided."""
     now = rows
-    while waiting:
-        seen_by = Observation()
-        counted = now.observe(seen_by, F.count_if(F.col("verdict").isNull()).alias("waiting"))
-        before, state = state, stage(counted, "state")
-        waiting = seen_by.get["waiting"]
-        unstage(before)
-        release(state.sparkSession)
-        undecided = state.filter("verdict is null")
-        at = undecided.select("id", *_WORDS, "ones", F.explode("prefix").alias("token"))
-        first = at.groupBy("token").agg(F.min(F.struct("id", *_WORDS, "ones")).alias("f")).select("token", "f.*")
+    while rounds.add(now):
+        undecided = rounds.read(True, rounds.steps - 1)
+        at = undecided.select(*_ROW, F.explode("keys").alias("key"))
+        first = at.groupBy("key").agg(F.min(F.struct(*_ROW)).alias("f")).select("key", "f.*")
         seen = (
             at.alias("a")
-            .join(first.alias("b").hint("shuffle_hash"), F.col("a.token") == F.col("b.token"))
+            .join(first.alias("b").hint("merge"), F.col("a.key") == F.col("b.key"))
             .groupBy("a.id")
             .agg((F.min("b.id") == F.col("a.id")).alias("first"), F.collect_set(F.when(_near("a", "b"), F.col("b.id"))).alias("near"))
         )
         heads = seen.filter("first").select(F.col("id").alias("head"))
-        gone = seen.filter("not first").select("id", F.explode("near").alias("head")).join(heads.hint("shuffle_hash"), "head", "left_semi")
-        told = heads.select(F.col("head").alias("id"), F.lit("accepted").alias("told")).union(
-            gone.select("id", F.lit("rejected")).distinct()
-        )
-        now = state.join(told.hint("shuffle_hash"), "id", "left").withColumn("verdict", F.coalesce("verdict", "told")).drop("told")
-    return state
+        gone = seen.filter("not first").select("id", F.explode("near").alias("head")).join(heads.hint("merge"), "head", "left_semi")
+        told = heads.select(F.col("head").alias("id"), F.lit("accepted").alias("told"))
+        told = told.union(gone.select("id", F.lit("rejected"))).groupBy("id").agg(F.min("told").alias("told"))
+        now = undecided.join(told.hint("merge"), "id", "left").withColumn("verdict", F.col("told")).drop("told")
+        now = now.select(rows.columns)
+
+
+def loads_of(sizes: dict[int, int], growth: int = 3) -> list[int]:
+    """The last batch of each load.  Consecutive batches make one load until it outgrows ``growth`` times all loads before it.
+
+    A backlog of any number of batches is thus read in logarithmically many loads, and no index row more often than
+    that; a batch on its own is a load."""
+    ends, before, load = [], 0, 0
+    for b in sorted(sizes):
+        load += sizes[b]
+        if load > growth * before:
+            ends.append(b)
+            before, load = before + load, 0
+    if load:
+        ends.append(max(sizes))
+    return ends
 
 
 def dedup_batches(
@@ -181,19 +282,29 @@ def dedup_batches(
     """(kept_id, dup_id): batches are ingested in order; one row per rejected row with the smallest accepted id within
     10 bits.
 
-    Ids rise with the batch.  Null, short and long hashes are skipped, exact copies count as repeats, rows without a
-    batch number come first, other columns are not read, and an empty input gives an empty result.  The number of
-    batches is read to the driver, never their rows."""
+    Ids rise with the batch, so consecutive batches that make one load (see ``loads_of``) give the same rows as one
+    after the other.  Null, short and long hashes are skipped, exact copies count as repeats, rows without a batch
+    number come first, other columns are not read, and an empty input gives an empty result.  The numbers of batches
+    and their sizes are read to the driver, never their rows."""
     spark = rows.sparkSession
     own = index is None
     index = index or HashIndex(spark)
     number = F.coalesce(F.col(batch).cast("bigint"), F.lit(-1)).alias("b")
     valid = _valid(rows.select(F.col(key).alias("id"), F.col(hash_).alias("hash"), number))
-    prepared = stage(_prepare(valid), "batches", by="b")
-    numbers = sorted(r.b for r in prepared.select("b").distinct().collect())
-    states = [index.decide(prepared.filter(F.col("b") == n)) for n in numbers]
+    ends = loads_of({r.b: r["count"] for r in valid.groupBy("b").count().collect()})
+    if not ends:
+        return valid.select(F.col("id").alias("kept_id"), F.col("id").alias("dup_id")).limit(0)
+    load = F.lit(len(ends) - 1)
+    for i in reversed(range(len(ends) - 1)):
+        load = F.when(F.col("b") <= ends[i], i).otherwise(load)
+    valid = valid.select("id", "hash", load.alias("load"))
+    reps = _representatives(valid)
+    index.found(reps)
+    prepared = stage(index.keyed(reps), "loads", by="load")
+    rounds = _Rounds(spark)
+    for i in range(len(ends)):
+        index.decide(prepared.filter(F.col("load") == i), rounds)
     if own:
         index.drop()
-    if not states:
-        return valid.select(F.col("id").alias("kept_id"), F.col("id").alias("dup_id")).limit(0)
-    return _decisions(valid, staged_union(states))
+    unstage(prepared)
+    return _decisions(valid, rounds.read(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediaframe.llm.canonical import map_to_canonical
 from mediaframe.llm.consolidate import consolidate, group_table
 from mediaframe.llm.frequency import term_frequencies
-from mediaframe.llm.history import HashIndex, dedup_batches
+from mediaframe.llm.history import PREFIX, HashIndex, _representatives, dedup_batches, loads_of
 from mediaframe.llm.leakage import leaked_windows
 from mediaframe.llm.mixing import mix_report, select_documents
 from mediaframe.llm.split import TOKEN, split_oversized, split_text
@@ -28,23 +28,53 @@ def greedy(hashes):
     return out
 
 
-def test_history(spark):
-    rng = np.random.default_rng(0)
+def history_rows(n=90, seed=0):
+    rng = np.random.default_rng(seed)
     base, data = [rng.bytes(32) for _ in range(6)], [(0, None), (1, b"short")]
-    for i in range(2, 90):  # chains and one hot cluster
+    for i in range(2, n):  # chains and one hot cluster
         bits = int.from_bytes(base[0 if i % 3 == 0 else int(rng.integers(6))])
         for b in rng.integers(0, 256, int(rng.integers(0, 9))):
             bits ^= 1 << int(b)
         data.append((i, bits.to_bytes(32)))
-    rows = spark.createDataFrame([(i, i // 40, h, "x") for i, h in data], "hash_id bigint, batch_no int, hash binary, id string")
-    assert {tuple(r) for r in dedup_batches(rows).collect()} == greedy(data)
+    return data
+
+
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_history(spark, hot_rows):
+    data = history_rows()
+    rows = spark.createDataFrame([(i, i // 20, h, "x") for i, h in data], "hash_id bigint, batch_no int, hash binary, id string")
+    assert {tuple(r) for r in dedup_batches(rows, index=HashIndex(spark, hot_rows=hot_rows)).collect()} == greedy(data)
     assert dedup_batches(rows.limit(0)).collect() == []
-    index, found = HashIndex(spark), set()
+
+
+def test_history_opens_again(spark, tmp_path):
+    data, path, found = history_rows(60), str(tmp_path / "index"), set()
+    rows = spark.createDataFrame([(i, h) for i, h in data], "id bigint, hash binary")
     for b in range(3):
-        batch = rows.filter(F.col("batch_no") == b).select(F.col("hash_id").alias("id"), "hash")
-        found |= {tuple(r) for r in index.ingest(batch).collect()}
-    index.drop()
+        index = HashIndex(spark, path, parts=64 if b == 0 else 3)
+        assert index.parts == 64
+        found |= {tuple(r) for r in index.ingest(rows.filter(F.floor(F.col("id") / 20) == b)).collect()}
     assert found == greedy(data)
+    first = spark.createDataFrame([(100, data[2][1])], "id bigint, hash binary")
+    assert [r.dup_id for r in HashIndex(spark, path).ingest(first).collect()] == [100]
+
+
+def test_history_reads_only_the_parts_of_a_batch(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    index = HashIndex(spark, str(tmp_path / "index"), parts=64)
+    index.ingest(spark.createDataFrame([(i, rng.bytes(32)) for i in range(400)], "id bigint, hash binary"))
+    one = _representatives(spark.createDataFrame([(1000, rng.bytes(32), 0)], "id bigint, hash binary, load int"))
+    parts = index.touched(index.keyed(one))
+    assert len(parts) <= PREFIX and set(parts) == {r.part for r in index.postings(parts).select("part").distinct().collect()}
+    plan = index.postings(parts)._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    # a generation without the mark of a finished write is not read
+    (tmp_path / "index" / "gen=00000001").mkdir()
+    assert index._generations() == ["gen=00000000"]
+
+
+def test_loads():
+    assert loads_of({}) == [] and loads_of({3: 5}) == [3] and loads_of({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}) == [1, 5, 6]
 
 
 def test_canonical(spark, rows):
