@@ -21,32 +21,25 @@ INSIDE, SENTENCE, LINE, PARAGRAPH = range(4)
 
 def boundaries(text: str) -> list[tuple[int, int]]:
     """(position, strength) of the natural boundaries inside the text."""
-    found: dict[int, int] = {}
+    found: list[tuple[int, int]] = []
+    last_feed = -2  # position of the line feed before
     for m in BOUNDARY.finditer(text):
-        strength = SENTENCE
+        strength, at = SENTENCE, m.start()
         if m.group() == "\n":
-            strength = PARAGRAPH if text[: m.start()].endswith("\n") or text[m.start() - 2 : m.start()] == "\n\r" else LINE
-        found[m.end()] = strength
-    found.pop(len(text), None)
-    return sorted(found.items())
+            blank = last_feed == at - 1 or (last_feed == at - 2 and text[at - 1] == "\r")
+            strength, last_feed = PARAGRAPH if blank else LINE, at
+        if m.end() < len(text):
+            found.append((m.end(), strength))
+    return found
 
 
-def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Pieces (start, end, tokens, shared) of a text and whether a cut was forced.
+def _atoms(spans: list[tuple[int, int]], marks: list[tuple[int, int]], limit: int, overlap: int) -> tuple[list[int], list[int], bool]:
+    """(tokens per atom, strength of the cut after each, forced): the stretches between natural boundaries.
 
-    ``start`` and ``end`` are positions in the text, ``tokens`` the size of the piece, of which the first ``shared``
-    are the last ones of the piece before.  Atoms are the stretches between natural boundaries; stretches that fit
-    no piece are cut between tokens.  Adjacent atoms are merged, the weakest boundary first (among equal ones the
-    one with the smaller sum, then the left one), while their tokens and the overlap fit the limit."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    if not spans:
-        return [], 0
-    overlap = max(0, min(overlap, limit - 1))
-    room = max(1, limit - overlap)
-    sizes: list[int] = []  # tokens per atom
-    cuts: list[int] = []  # strength of the boundary after each atom
-    forced, at = 0, 0
-    marks = [*boundaries(text), (len(text) + 1, PARAGRAPH)]
+    A stretch that fits no piece, together with the overlap that it would have, is cut between tokens."""
+    sizes: list[int] = []
+    cuts: list[int] = []
+    forced, at = False, 0
     for position, strength in marks:
         first = at
         while at < len(spans) and spans[at][0] < position:
@@ -57,14 +50,33 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
             if cuts:
                 cuts[-1] = max(cuts[-1], strength)
             continue
-        while n > room:
+        while n > (room := limit - min(overlap, at - n)):
             sizes.append(room)
             cuts.append(INSIDE)
             n -= room
         sizes.append(n)
         cuts.append(strength)
+    return sizes, cuts, forced
+
+
+def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Pieces (start, end, tokens, shared) of a text and whether a cut was forced.
+
+    ``start`` and ``end`` are positions in the text, ``tokens`` the size of the piece, of which the first ``shared``
+    are the last ones of the piece before.  Adjacent atoms are merged, the weakest boundary first (among equal ones the
+    one with the smaller sum, then the left one), while their tokens and the overlap before them fit the limit; a piece
+    at the start of the text has no overlap, one behind fewer tokens than the overlap shares these."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    if not spans:
+        return [], 0
+    overlap = max(0, min(overlap, limit - 1))
+    sizes, cuts, forced = _atoms(spans, [*boundaries(text), (len(text) + 1, PARAGRAPH)], limit, overlap)
+    before = [0] * len(sizes)  # tokens before each atom
+    for i in range(1, len(sizes)):
+        before[i] = before[i - 1] + sizes[i - 1]
     alive, right, left = [True] * len(sizes), list(range(1, len(sizes) + 1)), list(range(-1, len(sizes) - 1))
-    heap = [(cuts[i], sizes[i] + sizes[i + 1], i, i + 1) for i in range(len(sizes) - 1) if sizes[i] + sizes[i + 1] <= room]
+    fits = lambda i, j: sizes[i] + sizes[j] + min(overlap, before[i]) <= limit
+    heap = [(cuts[i], sizes[i] + sizes[i + 1], i, i + 1) for i in range(len(sizes) - 1) if fits(i, i + 1)]
     heapq.heapify(heap)
     while heap:
         _, total, i, j = heapq.heappop(heap)
@@ -74,7 +86,7 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
         if right[i] < len(sizes):
             left[right[i]] = i
         for a, b in ((left[i], i), (i, right[i])):
-            if a >= 0 and b < len(sizes) and sizes[a] + sizes[b] <= room:
+            if a >= 0 and b < len(sizes) and fits(a, b):
                 heapq.heappush(heap, (cuts[a], sizes[a] + sizes[b], a, b))
     pieces, at = [], 0
     for i in range(len(sizes)):
