@@ -8,6 +8,7 @@ a document being dearer than the one before; the documents are then chosen by a
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -29,6 +30,7 @@ class Source:
     name: str
     share: Fraction
     max_repeats: int
+    shown: str = ""
 
 
 class MinCostFlow:
@@ -56,9 +58,9 @@ class MinCostFlow:
         while True:
             dist: list[float] = [float("inf")] * len(self.out)
             came = [-1] * len(self.out)
-            dist[s], queue, queued = 0, [s], {s}
+            dist[s], queue, queued = 0, deque([s]), {s}
             while queue:
-                x = queue.pop(0)
+                x = queue.popleft()
                 queued.discard(x)
                 for e in self.out[x]:
                     y = self.to[e]
@@ -84,14 +86,14 @@ class MinCostFlow:
 def read_sources(table: DataFrame) -> list[Source]:
     """The sources of a mixing table; a row without source, share or repeats is left out."""
     rows = (
-        table.select(source_key(F.col("source")).alias("k"), "target_share", "max_repeats")
+        table.select(source_key(F.col("source")).alias("k"), "target_share", "max_repeats", "source")
         .filter("k is not null and target_share is not null and max_repeats is not null")
         .limit(MAX_PATTERNS + 1)
         .collect()
     )
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sources")
-    return [Source(r.k, Fraction(str(r.target_share)), int(r.max_repeats)) for r in sorted(rows)]
+    return [Source(r.k, Fraction(str(r.target_share)), int(r.max_repeats), r.source) for r in sorted(rows)]
 
 
 def route(sources: list[Source], patterns: dict[tuple[str, ...], int]) -> tuple[dict, dict[str, Fraction], dict[str, Fraction]]:
@@ -137,6 +139,19 @@ def measure(documents: DataFrame, sources: list[Source], text: str, source: str,
     )
 
 
+def copies_membership(
+    documents: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id"
+) -> DataFrame:
+    """(key, pattern, tokens): equal texts are one document, under its smallest key, that belongs to the sources of all.
+
+    A pattern is at most as long as the mix, so the list of sources of a text is bounded however many copies it has."""
+    known = [s.name for s in read_sources(mix)]
+    rows = documents.select(F.col(key).alias("key"), source_key(F.col(source)).alias("s"), F.col(text).alias("t"))
+    rows = rows.filter((F.col("s").isin(*known) if known else F.lit(False)) & F.col("t").isNotNull())
+    rows = rows.select("key", "s", F.sha2("t", 256).alias("same"), token_count(F.col("t")).alias("tokens"))
+    return rows.groupBy("same").agg(F.min("key").alias("key"), F.array_sort(F.collect_set("s")).alias("pattern"), F.max("tokens").alias("tokens")).drop("same")
+
+
 def pattern_sums(measured: DataFrame) -> dict[tuple[str, ...], int]:
     sums = (
         measured.select(F.array_sort(F.array_distinct("pattern")).alias("pattern"), "tokens")
@@ -150,16 +165,15 @@ def pattern_sums(measured: DataFrame) -> dict[tuple[str, ...], int]:
     return {tuple(r.pattern): int(r.tokens or 0) for r in sums}
 
 
-def _routed(spark: SparkSession, mix: DataFrame, sources: list[Source], measured: DataFrame) -> DataFrame:
+def _routed(spark: SparkSession, sources: list[Source], measured: DataFrame) -> DataFrame:
     """(key, source, quota_tokens, own_tokens, routed_tokens, routed_share, reaches): one row per source of the mix."""
     sums = pattern_sums(measured)
     _, quota, reached = route(sources, sums)
-    names = dict(mix.select(source_key(F.col("source")), "source").filter("source is not null").limit(MAX_PATTERNS).collect())
     got = sum(reached.values()) or Fraction(1)
     rows = [
         (
             s.name,
-            names[s.name],
+            s.shown,
             float(quota[s.name]),
             sum(v for k, v in sums.items() if s.name in k),
             float(reached[s.name]),
@@ -173,23 +187,32 @@ def _routed(spark: SparkSession, mix: DataFrame, sources: list[Source], measured
 
 
 def mix_report(
-    spark: SparkSession, documents: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0
+    spark: SparkSession,
+    documents: DataFrame,
+    mix: DataFrame,
+    text: str = "text",
+    source: str = "source",
+    key: str = "doc_id",
+    seed: int = 0,
+    membership: DataFrame | None = None,
 ) -> DataFrame:
     """(source, quota_tokens, own_tokens, routed_tokens, routed_share, reaches, chosen_tokens, chosen_share): one row per source.
 
     The quota is the target share of the tokens of all documents in the mix.  Null texts have no tokens; documents
     whose source is null or not in the mix do not take part; without documents every quota is 0 and reached.
+    ``membership`` may give (key, pattern, tokens) of documents that belong to several sources, such as
+    ``copies_membership``; then the tokens of a document count for each of its sources as own ones, once in the total.
     The routed amounts and ``reaches`` are those of the flow, which may end inside a document; the chosen ones are those
     of the whole documents that ``select_documents`` takes with the same seed."""
     sources = read_sources(mix)
-    measured = stage(measure(documents, sources, text, source, key), "mix")
+    measured = stage(membership if membership is not None else measure(documents, sources, text, source, key), "mix")
     chosen = select_documents(documents, mix, seed, text, source, "key", measured)
     sums = {r.source: int(r.n) for r in chosen.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("n")).collect()}
     got = sum(sums.values()) or 1
     picked = spark.createDataFrame(
         [(s.name, sums.get(s.name, 0), sums.get(s.name, 0) / got) for s in sources], "key string, chosen_tokens bigint, chosen_share double"
     )
-    out = _routed(spark, mix, sources, measured).join(F.broadcast(picked), "key").drop("key")  # one row per source
+    out = _routed(spark, sources, measured).join(F.broadcast(picked), "key").drop("key")  # one row per source
     unstage(measured)
     return out
 
@@ -246,4 +269,4 @@ def select_documents(
 def unreachable_sources(spark: SparkSession, documents: DataFrame, mix: DataFrame) -> DataFrame:
     """(source): the sources whose quota the flow cannot fill even with every allowed repetition."""
     sources = read_sources(mix)
-    return _routed(spark, mix, sources, measure(documents, sources, "text", "source", "doc_id")).filter("not reaches").select("source")
+    return _routed(spark, sources, measure(documents, sources, "text", "source", "doc_id")).filter("not reaches").select("source")

@@ -12,7 +12,7 @@ from mediaframe.llm.consolidate import consolidate, group_table
 from mediaframe.llm.frequency import term_frequencies
 from mediaframe.llm.history import dedup_batches
 from mediaframe.llm.leakage import leaked_windows
-from mediaframe.llm.mixing import mix_report, select_documents, unreachable_sources
+from mediaframe.llm.mixing import copies_membership, mix_report, select_documents, unreachable_sources
 from mediaframe.llm.split import oversized_documents, split_oversized
 from mediaframe.llm.survivor import elect_values, most_trusted
 from mediaframe.plans.tables import table
@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return most_trusted(table(spark, d, "dup_groups")).select("group_id", "field", "row_id")
+    return most_trusted(table(spark, d, "dup_groups"))
 
 
 def p6_elected(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +70,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(spark, table(spark, d, "documents"), table(spark, d, "mix_sources"))
 
 
+def p9_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The report where equal texts of several sources are one document that belongs to all of them."""
+    docs, mix = table(spark, d, "documents"), table(spark, d, "mix_sources")
+    return mix_report(spark, docs, mix, membership=copies_membership(docs, mix))
+
+
 def p9_selected(spark: SparkSession, d: str) -> DataFrame:
     return select_documents(table(spark, d, "documents"), table(spark, d, "mix_sources"), seed=0)
 
@@ -86,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p2_found, p4_found, p5_found, p5_frequencies, p6_found, p6_elected, p7_found, p7_groups, p8_found, p8_items,
-        p9_found, p9_report, p9_selected, p10_found, p10_pieces,
+        p9_found, p9_report, p9_overlap, p9_selected, p10_found, p10_pieces,
     )
 }
 

@@ -70,71 +70,79 @@ def trust_order(kinds: dict[str, str]) -> Column:
     )
 
 
-def _long(groups: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Unpivoted: (group_id, field, value, norm, row_id, trust, weight) of the usable values only."""
+def _with_span(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``age``: days between the row and the newest dated row of its group.
+
+    Undated rows are as old as the oldest dated one; without any dated row all are new."""
+    span = rows.groupBy("group_id").agg(F.max("day").alias("newest"), F.min("day").alias("oldest"))
+    same = F.col("r.group_id") == F.col("s.group_id")
+    age = F.coalesce(F.col("newest") - F.coalesce("day", "oldest"), F.lit(0.0))
+    return rows.alias("r").join(span.alias("s"), same).select("r.*", age.alias("age"))
+
+
+def _votes(groups: DataFrame, fields: Sequence[str], half_life_days: float | None) -> DataFrame:
+    """Unpivoted: (group_id, field, value, norm, row_id, trust, vote) of the usable values only."""
     kinds = dict(groups.dtypes)
+    text = lambda f: outer_trim(F.col(f"`{f}`").cast("string"))
     cells = F.array(
         *[
-            F.when(
-                usable(f, kinds[f]),
-                F.struct(
-                    F.lit(f).alias("field"),
-                    outer_trim(F.col(f"`{f}`").cast("string")).alias("value"),
-                    F.lower(outer_trim(F.col(f"`{f}`").cast("string"))).alias("norm"),
-                ),
-            )
+            F.when(usable(f, kinds[f]), F.struct(F.lit(f).alias("field"), text(f).alias("value"), F.lower(text(f)).alias("norm")))
             for f in fields
         ]
     )
-    trust = F.when(F.col("checked").isNull(), 0.25).when(F.col("checked"), 0.5).otherwise(1.0)
-    rank = F.when(usable("priority", kinds["priority"]), 1 / (1 + F.col("priority"))).otherwise(0.1)
-    return (
-        groups.filter("group_id is not null")
-        .select(
-            "group_id",
-            "row_id",
-            trust_order(kinds).alias("trust"),
-            (trust * rank).alias("source_trust"),
-            F.when(usable("mod_date", kinds["mod_date"]), F.unix_micros(F.col("mod_date").cast("timestamp")) / 86_400_000_000).alias("day"),
-            F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"),
-        )
-        .select("group_id", "row_id", "trust", "source_trust", "day", "x.*")
+    rows = groups.filter("group_id is not null").select(
+        "group_id", "row_id", "checked", "priority", trust_order(kinds).alias("trust"), cells.alias("cells"),
+        usable("priority", kinds["priority"]).alias("ranked"),
+        F.when(usable("mod_date", kinds["mod_date"]), F.unix_micros(F.col("mod_date").cast("timestamp")) / 86_400_000_000).alias("day"),
+    )
+    if half_life_days is None:
+        vote = F.col("trust")
+    else:
+        rows = _with_span(rows)
+        source = F.when(F.col("checked").isNull(), 0.25).when(F.col("checked"), 0.5).otherwise(1.0)
+        rank = F.when(F.col("ranked"), 1 / (1 + F.col("priority"))).otherwise(0.1)
+        vote = (source * rank * F.pow(F.lit(2.0), -F.col("age") / half_life_days)).cast("decimal(28,20)")
+    present = F.filter("cells", lambda x: x.isNotNull())
+    return rows.select("group_id", "row_id", "trust", vote.alias("vote"), F.explode(present).alias("x")).select(
+        "group_id", "row_id", "trust", "vote", "x.*"
     )
 
 
-def most_trusted(groups: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(group_id, field, row_id, value): for each group and field the most trusted row with a usable value.
-
-    Fields are unpivoted to long rows; the winner is ``max_by`` over the trust order, combined on the map side, so a
-    group that holds a third of all rows is reduced before it is shuffled.  Rows without a group are ignored, a field
-    without a usable value has no row, repeated rows tie and the smaller row_id wins."""
-    return (
-        _long(groups, fields)
-        .groupBy("group_id", "field")
-        .agg(F.max(F.struct("trust", "row_id", "value")).alias("w"))
-        .select("group_id", "field", "w.row_id", "w.value")
-    )
+def elect_values(groups: DataFrame, fields: Sequence[str] = FIELDS, half_life_days: float | None = 365.0) -> DataFrame:
+    """One row per group: for each field the value with most votes (typed as before), and ``…_row``, the row that holds it.
 
+    Fields are unpivoted to long rows, votes are added up per normalised value, the winner is taken by ``max_by`` and
+    the winners are pivoted back; ties go to the more trusted row.  Each step is an aggregate with map-side combine, so
+    a group that holds a third of all rows is reduced before it is shuffled.
 
-def elect_values(groups: DataFrame, fields: Sequence[str] = FIELDS, half_life_days: float = 365.0) -> DataFrame:
-    """One row per group: for each field the value with most votes, and the row that holds it.
+    * A vote is source trust times recency decay, half per ``half_life_days`` between the row and the newest of its
+      group.  Votes are decimals of 20 digits behind the point (a row 66 half-lives old has none), so sums do not
+      depend on the order of rows.
+    * With ``half_life_days`` None a vote outweighs all votes of less trusted rows together, however many they are.
+      The sum of such votes is ordered like its greatest one, so that one stands for it.
 
-    A vote is source trust times recency decay (half per ``half_life_days``, counted from a fixed day so that votes
-    of one group compare without a pass for its newest row; rows without a usable date count as the oldest);
-    votes are summed per normalised value, ties go to the more trusted row.  Votes are decimals, so sums do not
-    depend on the order of rows."""
-    decay = F.coalesce(F.pow(F.lit(2.0), (F.col("day") - 18262.0) / half_life_days), F.lit(0.0009765625))
-    votes = (
-        _long(groups, fields)
-        .withColumn("vote", (F.col("source_trust") * F.least(decay, F.lit(1e6))).cast("decimal(28,12)"))
+    Rows without a group are ignored; a field without a usable value is null; a group without any has no row; repeated
+    rows tie, and the smaller row_id wins; an empty input gives no row; other columns are not read."""
+    total = F.sum if half_life_days is not None else F.max
+    winners = (
+        _votes(groups, fields, half_life_days)
         .groupBy("group_id", "field", "norm")
-        .agg(F.sum("vote").alias("votes"), F.max(F.struct("trust", "row_id", "value")).alias("w"))
+        .agg(total("vote").alias("votes"), F.max(F.struct("trust", "row_id", "value")).alias("w"))
         .groupBy("group_id", "field")
-        .agg(F.max_by("w", F.struct("votes", "w")).alias("w"), F.max("votes").alias("votes"))
+        .agg(F.max_by("w", F.struct("votes", "w")).alias("w"))
     )
     pick = lambda f, x: F.max(F.when(F.col("field") == f, x))
     kinds = dict(groups.dtypes)
-    return votes.groupBy("group_id").agg(
+    return winners.groupBy("group_id").agg(
         *[pick(f, F.col("w.value")).try_cast(kinds[f]).alias(f) for f in fields],
         *[pick(f, F.col("w.row_id")).alias(f"{f}_row") for f in fields],
     )
+
+
+def most_trusted(groups: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """(group_id, field, row_id): for each group and field the most trusted row with a usable value.
+
+    It is the election in which trust outweighs numbers, one row per field that has a winner."""
+    elected = elect_values(groups, fields, None)
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_row").alias("row_id")) for f in fields])
+    return elected.select("group_id", F.inline(F.filter(cells, lambda x: x["row_id"].isNotNull())))
