@@ -21,8 +21,8 @@ NOISE = (
 )
 #: Texts of a maker field that give no maker (fixed values).
 NO_MAKER = ("", "unknown", "na", "n a", "none", "null", "nan", "no name available", "unbekannt", "undefined", "other")
-#: Largest edit distance of a maker that stands in a field of its own.
-MAKER_EDITS = 3
+#: Greatest number of edits of any text; the built-in levenshtein gives up beyond it.
+MOST_EDITS = 5
 #: Rows of reference segments that may be broadcast; beyond, the join shuffles.
 MAX_BROADCAST = 500_000
 #: Grades (fixed values) that end a name without a number and must be equal.
@@ -31,7 +31,7 @@ _ROMAN = {"iii": "3", "ii": "2", "iv": "4", "vi": "6", "v": "5", "i": "1"}
 
 
 def _k_sql(length: str) -> str:
-    """Allowed edits of a name by its number of letters."""
+    """Allowed edits of a name or a maker by its number of letters; two swapped pairs of neighbours are four edits."""
     return f"case when {length} <= 2 then 0 when {length} <= 4 then 1 when {length} <= 7 then 3 when {length} <= 12 then 4 else 5 end"
 
 
@@ -86,7 +86,7 @@ def reference_segments(names: DataFrame) -> DataFrame:
     )
 
 
-def text_substrings(texts: DataFrame, most: int = 5) -> DataFrame:
+def text_substrings(texts: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     """The substrings of every text at which a segment of a name of length ``len`` can lie, shifts included.
 
     Segment i starts at most i edits off its place, and the edits after it have to make up for the lengths."""
@@ -123,10 +123,11 @@ def match_names(items: DataFrame, reference: DataFrame) -> DataFrame:
         "maker", "model", "other",
         """inline(array_compact(array(
              named_struct('letters', letters, 'sig', sig),
-             if(length(letters) > 4 and sig rlike '^[0-9]', named_struct(
+             if(length(letters) > 1 and sig rlike '^[0-9]', named_struct(
                 'letters', left(letters, length(letters) - 1), 'sig', concat(right(letters, 1), sig)), null)))) as (letters, sig)""",
     )
     names = reference_names(reference)
+    makers = names.select("maker_letters").distinct()
     segments = reference_segments(names)
     small = segments.count() <= MAX_BROADCAST
     # only signatures of the list are cut into substrings
@@ -138,12 +139,17 @@ def match_names(items: DataFrame, reference: DataFrame) -> DataFrame:
         probe.join(F.broadcast(refs) if small else refs, ["sig", "len", "k", "seg_no", "seg"])
         .select("letters", "sig", "model_id", "maker_letters", "ref", "k")
         .distinct()
-        .withColumn("d", F.levenshtein("letters", "ref"))
-        .filter("d <= k")
+        .withColumn("d", F.levenshtein("letters", "ref", MOST_EDITS))
+        .filter("d between 0 and k")
     )
     given = F.regexp_replace("other", " ", "")
-    maker_d = F.when(given.isin(*[x.replace(" ", "") for x in NO_MAKER]), 0).otherwise(F.levenshtein(given, F.col("maker_letters")))
-    scored = texts.join(found, ["letters", "sig"]).withColumn("md", maker_d).filter(F.col("md") <= MAKER_EDITS)
+    none = [x.replace(" ", "") for x in NO_MAKER]
+    scored = texts.withColumn("given", F.when(given.isin(*none), F.lit(None)).otherwise(given)).join(found, ["letters", "sig"])
+    scored = scored.join(makers.withColumnRenamed("maker_letters", "given").withColumn("is_maker", F.lit(True)), "given", "left")
+    near = F.levenshtein("given", "maker_letters", MOST_EDITS)
+    maker_k = F.expr(_k_sql("length(maker_letters)"))
+    scored = scored.withColumn("md", F.when(F.col("given").isNull(), 0).otherwise(near)).filter(F.col("md").between(0, maker_k))
+    scored = scored.filter("md = 0 or is_maker is null")  # the name of another maker is no misspelling
     best = scored.groupBy("maker", "model", "model_id").agg(F.min(F.col("d") + F.col("md")).alias("distance"))
     return (
         best.groupBy("maker", "model")
