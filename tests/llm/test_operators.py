@@ -1,17 +1,19 @@
 import re
+import time
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mediaframe.llm import leakage
 from mediaframe.llm.canonical import map_to_canonical
 from mediaframe.llm.consolidate import consolidate, group_table
 from mediaframe.llm.frequency import term_frequencies
 from mediaframe.llm.history import PREFIX, HashIndex, _representatives, dedup_batches, loads_of
 from mediaframe.llm.leakage import leaked_windows
-from mediaframe.llm.mixing import mix_report, select_documents
-from mediaframe.llm.split import TOKEN, split_oversized, split_text
+from mediaframe.llm.mixing import copies_membership, mix_report, select_documents
+from mediaframe.llm.split import TOKEN, boundaries, split_oversized, split_text
 from mediaframe.llm.survivor import elect_values, most_trusted
 
 
@@ -102,6 +104,15 @@ def test_canonical_names_without_numbers(spark, rows):
     assert dict(rows(map_to_canonical(df, cat))) == {0: 1, 1: 2, 2: 0, 3: 1, 4: 0, 5: 3, 6: 0, 7: 0, 8: 0, 9: 3}
 
 
+def test_canonical_makers(spark, rows):
+    """Two swapped pairs of a long maker are misspelt; the name of another maker is another maker; short makers stay apart."""
+    ref = [(1, "Quillonde", "Emberstone 400", None, None), (2, "Abc", "Foxglove 20", "Eos R5", None), (3, "Abd", "Pine 7", None, None), (4, "Kestrin", "Kazenoko 30", None, None)]
+    items = [("Quilolned", "Emberstone 400"), ("Abd", "Foxglove 20"), ("Xyz", "Foxglove 20"), ("abc", "EOSR5"), ("Kestirn", "Kazenoko 30"), ("Marinth", "Kazenoko 30")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(items)], "item_id bigint, maker string, model string")
+    cat = spark.createDataFrame(ref, "model_id bigint, maker string, model string, alias string, model_code string")
+    assert dict(rows(map_to_canonical(df, cat))) == {0: 1, 1: 0, 2: 0, 3: 2, 4: 4, 5: 0}
+
+
 def test_frequency(spark, rows):
     data = [(f"p{i}", " A B\0" if i else "a b", "L") for i in range(5)] + [("p1", "A b", " l "), ("q", None, "L"), ("q", " ", "L"), (None, "z", "L"), ("q", "C", "L")]
     df = spark.createDataFrame([(*x, 1) for x in data], "path string, value_label string, key_label string, n int")
@@ -110,6 +121,18 @@ def test_frequency(spark, rows):
     assert rows(term_frequencies(df.limit(0), ["L"])) == []
 
 
+def test_frequency_of_one_hot_pair(spark, rows):
+    """One item of one record in a third of all rows, over several partitions and batches."""
+    data = [("hot", "x y") if i % 3 == 0 else (f"p{i % 50}", f"x {i % 7}") for i in range(3000)]
+    df = spark.createDataFrame([(*r, "L") for r in data], "path string, value_label string, key_label string").repartition(7)
+    got = {r.item: (r.n_occurrences, r.n_records) for r in term_frequencies(df, ["L"]).filter("kind = 'term'").collect()}
+    want = {}
+    for path, v in data:
+        for t in v.split():
+            want.setdefault(t, []).append(path)
+    assert got == {t: (len(p), len(set(p))) for t, p in want.items()}
+
+
 GROUPS = """row_id bigint, group_id bigint, filesize bigint, mod_date timestamp, width int, height int, exif_date_taken timestamp_ntz,
     maker string, model string, priority int, checked boolean, value string"""
 
@@ -128,6 +151,22 @@ def test_survivor(spark, rows):
     assert most_trusted(df.limit(0)).collect() == [] and elect_values(df.limit(0)).collect() == []
 
 
+def test_votes_of_old_and_undated_rows(spark):
+    row = lambda i, date, maker, checked=False: (i, 1, 5, date, 1, 1, None, maker, "m", 0, checked, None)
+    elect = lambda data: elect_values(spark.createDataFrame(data, GROUPS)).first().maker
+    old, older, new = datetime(2001, 1, 1), datetime(1999, 1, 1), datetime(2095, 1, 1)
+    assert elect([row(1, old, "b"), row(2, None, "a"), row(3, older, "a")]) == "b"  # undated counts as the oldest
+    assert elect([row(1, old, "b"), row(2, old, "a"), row(3, old, "a")]) == "a"
+    assert elect([row(1, new, "b"), row(2, datetime(2094, 6, 1), "a"), row(3, datetime(2094, 6, 1), "a")]) == "a"  # no upper limit of votes
+    assert elect([row(1, None, "b"), row(2, None, "a"), row(3, None, "a", None)]) == "a"
+
+
+def test_one_trusted_row_outweighs_any_number(spark):
+    data = [(i, 1, 5, datetime(2020, 1, 1), 1, 1, None, "few" if i == 1 else "many", "m", 0 if i == 1 else 1, False, None) for i in range(1, 60)]
+    df = spark.createDataFrame(data, GROUPS)
+    assert {r.field: r.row_id for r in most_trusted(df).collect()}["maker"] == 1 and elect_values(df).first().maker == "many"
+
+
 def test_consolidate(spark, rows):
     pairs = [(f"/c/{i:03}", f"/c/{i + 1:03}") for i in range(70)] + [("/hub", f"/s/{i}") for i in range(40)]
     pairs += [("/a//b", "/a/./b"), ("/a/b", "/A/b"), (None, "/x"), ("/x", "/x"), ("/c/003", "/c/../c/001")]
@@ -151,6 +190,31 @@ def test_leakage(spark, rows):
     assert leaked_windows(df.limit(0), items).collect() == [] and leaked_windows(df, items.limit(0)).collect() == []
 
 
+def test_leakage_against_brute_force(spark, monkeypatch):
+    """Random texts over few words, so that shingles repeat; also with the windows too many for a broadcast."""
+    rng = np.random.default_rng(1)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4, n))
+    items = [(i, word(int(rng.integers(10, 30)))) for i in range(12)] + [(None, word(20))]
+    docs = []
+    for i in range(60):
+        t = items[int(rng.integers(12))][1].split()
+        docs.append((i, word(int(rng.integers(0, 30))) + " " + " ".join(t[: int(rng.integers(8, 20))]) + " " + word(40)))
+    want = {}
+    for i, d in docs:
+        w = d.split()
+        held = {tuple(w[k : k + 13]) for k in range(len(w) - 12)}
+        for j, t in items:
+            v = t.split()
+            n = [k for k in range(len(v) - 12) if tuple(v[k : k + 13]) in held]
+            if n:
+                want[i, j] = (n[0], len(n))
+    d, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (leakage.MAX_BROADCAST, 0):
+        monkeypatch.setattr(leakage, "MAX_BROADCAST", most)
+        assert {(r[0], r[1]): (r[2], r[3]) for r in leaked_windows(d, it).collect()} == want
+    assert len(want) > 10
+
+
 MIX = "source string, target_share double, max_repeats int, max_tokens int, overlap_tokens int"
 
 
@@ -179,6 +243,23 @@ def test_mix_report_counts_the_chosen_documents(spark):
     assert [x.chosen_tokens for x in mix_report(spark, df.limit(0), mix).collect()] == [0, 0, 0]
 
 
+def test_mixing_overlapping_sources(spark):
+    docs = [(i, f"both {i} x x x x x x x x", s) for i in range(40) for s in ("a", "b")] + [(100 + i, f"only {i} y y y", "A ") for i in range(10)]
+    df = spark.createDataFrame([(i, d[1], d[2]) for i, d in enumerate(docs)], "doc_id bigint, text string, source string")
+    mix = spark.createDataFrame([("a", 0.3, 1, 9, 0), ("b", 0.7, 2, 9, 0)], MIX)
+    shared = copies_membership(df, mix)
+    assert {tuple(r.pattern) for r in shared.collect()} == {("a", "b"), ("a",)} and shared.count() == 50
+    r = {x.source: x for x in mix_report(spark, df, mix, membership=shared).collect()}
+    assert r["a"].own_tokens == 450 and r["b"].own_tokens == 400 and all(x.reaches for x in r.values())
+    assert abs(r["a"].routed_share - 0.3) < 1e-9 and abs(r["b"].chosen_share - 0.7) < 0.05
+    uses = {}
+    for c in select_documents(df, mix, 0, key="key", membership=shared).collect():
+        uses[c.key] = uses.get(c.key, 0) + c.uses
+    assert max(uses.values()) <= 2
+    none = {x.source: x for x in mix_report(spark, df, mix).collect()}
+    assert none["a"].own_tokens == 450 and none["b"].own_tokens == 400
+
+
 @pytest.mark.parametrize("limit, overlap", [(8, 0), (8, 3), (20, 5), (3, 5), (1, 0)])
 def test_split_text(limit, overlap):
     text = "One two. Three four five!\n\nSix seven\neight " + "nine " * 30 + "。終わり。 End?"
@@ -192,6 +273,40 @@ def test_split_text(limit, overlap):
     assert got == spans and forced == 1
 
 
+def test_first_piece_has_the_whole_limit():
+    pieces, forced = split_text("a b c d e f g. " * 3, 8, 2)
+    assert pieces[0] == (0, 14, 8, 0) and not forced
+    pieces, _ = split_text("x y. " + "a b c d. " + "k l m n o.", 10, 6)  # a stretch behind fewer tokens than the overlap
+    assert [p[2:] for p in pieces][0] == (8, 0)
+
+
+def test_natural_boundaries_are_kept_where_they_can_be():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        limit = int(rng.integers(4, 12))
+        overlap = int(rng.integers(0, limit))
+        text = "".join("w " * int(rng.integers(1, limit)) + (". ", "\n", "\n\n", "! ")[int(rng.integers(4))] for _ in range(int(rng.integers(1, 12))))
+        spans = [m.span() for m in TOKEN.finditer(text)]
+        ends = {sum(s[0] < at for s in spans) for at, _ in boundaries(text)}
+        pieces, _ = split_text(text, limit, overlap)
+        at = 0
+        marks = sorted(ends | {0, len(spans)})
+        for _, _, n, shared in pieces:
+            at += n - shared
+            assert n <= limit and shared == min(overlap, at - n + shared)
+            if at not in ends and at < len(spans):  # a cut inside a stretch: it did not fit with its overlap
+                lo = max(m for m in marks if m < at)
+                hi = min(m for m in marks if m > at)
+                assert hi - lo + min(overlap, lo) > limit
+
+
+def test_boundaries_take_linear_time():
+    text = "a\n" * 1_000_000
+    began = time.perf_counter()
+    assert len(boundaries(text)) == 999_999 and time.perf_counter() - began < 10
+    assert boundaries("a\n\nb\r\n\r\nc. d\n") == [(2, 2), (3, 3), (6, 2), (8, 3), (10, 1)]
+
+
 def test_split_documents(spark, rows):
     docs = [(1, "a b. c d. e f.", "S"), (2, "a", "S"), (3, None, "S"), (4, "a b c d e f g h i j", None), (5, "x " * 9000, " s ")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, source string, forced int")
