@@ -1,9 +1,10 @@
 """Attribute-value rows into wide tables.
 
-Rows are first reduced to one state per (entity, attribute) with map-side combine, so that an entity that holds
-a third of all rows reaches the next step as one row per attribute.  The states are then hash-partitioned and
-sorted by entity, and an Arrow function streams the grouped rows into columnar builders: attributes are column
-indices, integers and moments go into typed buffers with a validity mask, texts are gathered by index.
+Attributes are encoded as column indices.  Rows of one batch are combined to one state per (entity, attribute) where
+they lie, so that an entity that holds a third of all rows is shuffled as a few rows per batch.  The states are
+hash-partitioned and sorted by entity, once, and an Arrow function streams the grouped rows into sparse columnar
+builders: it goes on combining states, names the cells that are unreadable or disagree, puts integers and moments into
+typed buffers with a validity mask and gathers texts by index.  An entity is never held as more than one row per attribute.
 """
 
 from __future__ import annotations
@@ -46,23 +47,37 @@ def _canonical(value: Column, kind: Column) -> Column:
     )
 
 
+_STATE = "entity string, attr int, lo string, hi string, bad boolean"
+
+
 def cell_states(
     rows: DataFrame, labels: Sequence[tuple[str, str]], entity: str, label: str, value: str
 ) -> DataFrame:
-    """(entity, attr, lo, hi, bad): smallest and largest readable value of a cell and whether any row is unreadable."""
+    """(entity, attr, lo, hi, bad): smallest and largest readable value of a cell and whether any row is unreadable.
+
+    Combined within batches only; a cell may have several states."""
     keys = [(i, "".join(name.lower().split()), kind) for i, (name, kind) in enumerate(labels)]
     index = F.create_map(*[F.lit(x) for i, key, _ in keys for x in (key, i)]) if keys else F.lit(None)
     kinds = F.array(*[F.lit(kind) for _, _, kind in keys]) if keys else F.array(F.lit(""))
     base = rows.select(
-        F.col(entity).alias("entity"),
+        F.col(entity).cast("string").alias("entity"),
         F.element_at(index, label_key(F.col(label))).alias("attr") if keys else F.lit(None).cast("int").alias("attr"),
         outer_trim(F.col(value)).alias("v"),
     ).filter("entity is not null and attr is not null and v <> ''")
-    return (
-        base.withColumn("c", _canonical(F.col("v"), kinds[F.col("attr")]))
-        .groupBy("entity", "attr")
-        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("c").isNull()).alias("bad"))
-    )
+    read = base.select("entity", "attr", _canonical(F.col("v"), kinds[F.col("attr")]).alias("lo"))
+    return read.selectExpr("entity", "attr", "lo", "lo as hi", "lo is null as bad").mapInArrow(_combine_batches, _STATE)
+
+
+def _combine(t: pa.Table) -> pa.Table:
+    """One state per (entity, attr)."""
+    out = t.group_by(["entity", "attr"], use_threads=False).aggregate([("lo", "min"), ("hi", "max"), ("bad", "max")])
+    return out.rename_columns(["entity", "attr", "lo", "hi", "bad"]).combine_chunks()
+
+
+def _combine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield from _combine(pa.table(b)).to_batches()
 
 
 def _typed(kind: str, lo: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -87,45 +102,47 @@ def _builder(labels: Sequence[tuple[str, str]], schema: pa.Schema, oversize: boo
         np.cumsum(np.bincount(rows, minlength=n), out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(attrs)))
 
-    def build(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        n = len(starts)
-        row = np.zeros(t.num_rows, np.int64)
-        row[starts[1:]] = 1
-        row = np.cumsum(row)
-        attr = t["attr"].to_numpy()
+    def build(t: pa.Table) -> pa.RecordBatch:
+        """One row per entity from its states; only the cells that there are get touched."""
+        entities = t["entity"].combine_chunks().dictionary_encode()
+        n, row, attr = len(entities.dictionary), entities.indices.to_numpy(), t["attr"].to_numpy()
         lo, hi = t["lo"].combine_chunks(), t["hi"].combine_chunks()
         conflict = pc.fill_null(pc.not_equal(lo, hi), False).to_numpy(zero_copy_only=False)
-        bad = pc.fill_null(t["bad"], False).to_numpy(zero_copy_only=False).astype(bool)
+        bad = t["bad"].to_numpy().astype(bool)
         large = np.zeros(t.num_rows, bool)
-        columns = [t["entity"].combine_chunks().take(pa.array(starts))]
+        by_row = np.argsort(row, kind="stable")
+        by_attr = np.argsort(attr, kind="stable")
+        bounds = np.searchsorted(attr[by_attr], np.arange(len(labels) + 1))
+        columns = [entities.dictionary]
         for i, (_, kind) in enumerate(labels):
-            at = np.flatnonzero(attr == i)
+            at = by_attr[bounds[i] : bounds[i + 1]]
+            if not len(at):
+                columns.append(pa.nulls(n, schema.field(i + 1).type))
+                continue
             values, fits = _typed(kind, lo.take(pa.array(at)))
-            keep = fits.to_numpy(zero_copy_only=False) & ~conflict[at]
-            large[at] = pc.and_(pc.is_valid(lo.take(pa.array(at))), pc.invert(fits)).to_numpy(zero_copy_only=False) & ~conflict[at]
+            fits = fits.to_numpy(zero_copy_only=False)
+            keep = fits & ~conflict[at]
+            large[at] = pc.is_valid(lo.take(pa.array(at))).to_numpy(zero_copy_only=False) & ~fits & ~conflict[at]
             slot = np.full(n, -1, np.int64)
             slot[row[at[keep]]] = np.flatnonzero(keep)
             columns.append(values.take(pa.array(slot, mask=slot < 0)))
-        columns += [listed(n, row, attr, f) for f in ((bad, conflict, large) if oversize else (bad | large, conflict))]
+        row, attr = row[by_row], attr[by_row]
+        columns += [listed(n, row, attr, f[by_row]) for f in ((bad, conflict, large) if oversize else (bad | large, conflict))]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        rest: pa.Table | None = None  # the states of the entity that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            e = t["entity"].combine_chunks()
-            new = np.flatnonzero(pc.not_equal(e[1:], e[:-1]).to_numpy(zero_copy_only=False)) + 1
-            if not len(new):  # one entity so far: at most one row per attribute
-                rest = t
-                continue
-            starts = np.concatenate([[0], new[:-1]]).astype(np.int64)
-            yield build(t.slice(0, int(new[-1])), starts)
-            rest = t.slice(int(new[-1]))
+            t = pa.table(batch)
+            t = _combine(pa.concat_tables([rest, t]) if rest is not None else t)
+            open_ = pc.equal(t["entity"], batch.column("entity")[batch.num_rows - 1])
+            rest, done = t.filter(open_), t.filter(pc.invert(open_))
+            if done.num_rows:
+                yield build(done)
         if rest is not None:
-            yield build(rest, np.zeros(1, np.int64))
+            yield build(rest)
 
     return run
 
@@ -161,7 +178,7 @@ def widen(
     )
     states = cell_states(rows, labels, entity, label, value)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_entity = states.repartition(n, "entity").sortWithinPartitions("entity", "attr")
+    by_entity = states.repartition(n, "entity").sortWithinPartitions("entity")
     return by_entity.mapInArrow(_builder(list(labels), arrow, oversize), schema)
 
 
