@@ -14,10 +14,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 
-#: Month names (fixed values): English, German, French and Spanish ones, told apart by their first letters without marks.
-MONTHS = {m.lower(): i + 1 for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())} | {
-    "ene": 1, "fev": 2, "avr": 4, "abr": 4, "mai": 5, "juin": 6, "juil": 7, "aou": 8, "ago": 8, "okt": 10, "dez": 12, "dic": 12,
-}
+#: Month names in English, German, French and Spanish, without marks (fixed values).
+MONTH_NAMES = """january february march april may june july august september october november december
+januar februar marz april mai juni juli august september oktober november dezember
+janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre
+enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"""
+
+
+def _month_table() -> dict[str, int]:
+    """Every beginning of a month name of at least three letters that fits one month only; "maerz" and "setiembre" too."""
+    months: dict[str, set[int]] = {"maerz": {3}, "setiembre": {9}}
+    for line in MONTH_NAMES.splitlines():
+        for i, name in enumerate(line.split()):
+            for n in range(3, len(name) + 1):
+                months.setdefault(name[:n], set()).add(i + 1)
+    return {name: min(which) for name, which in months.items() if len(which) == 1}
+
+
+MONTHS = _month_table()
 UTC_NAMES = {"z", "utc", "gmt", "ut"}
 MAX_OFFSET, MIN_OFFSET = 14 * 3600, -12 * 3600
 US = 1_000_000
@@ -77,7 +91,7 @@ def month_of(names: pd.Series) -> np.ndarray:
     """Numbers of month names, -1 where unknown."""
     codes, distinct = pd.factorize(names.to_numpy(object))
     bare = ["".join(c for c in unicodedata.normalize("NFKD", x) if c.isalpha()).lower() for x in distinct]
-    numbers = [MONTHS.get(x[:4], MONTHS.get(x[:3], -1)) for x in bare]
+    numbers = [MONTHS.get(x, -1) for x in bare]
     return np.array([*numbers, -1], np.int64)[codes]
 
 

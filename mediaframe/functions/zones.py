@@ -11,8 +11,11 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years whose changes are listed.  No zone changed before; after the last listed change of a law the calendar, and
+#: with it the rule of every zone, repeats every 400 years, so later moments are looked up in the last such cycle.
+FIRST_YEAR, LAST_YEAR = 1800, 2500
 SECOND = 1_000_000
+CYCLE = 146_097 * 86_400 * SECOND  # 400 years
 
 
 def database_version() -> str:
@@ -46,6 +49,12 @@ class ZoneTable:
 
         An instant is right if its offset, applied to the local time, falls into the span of that offset;
         only the spans around the local time can hold one."""
+        last_day = (LAST_YEAR - 1970) * 365 * 86_400 * SECOND  # some time before the end of the last year
+        cycles = np.maximum(0, -((last_day - local) // CYCLE))
+        found, count = self._listed(local - cycles * CYCLE)
+        return found + cycles * CYCLE, count
+
+    def _listed(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, count = np.zeros_like(local), np.zeros(len(local), np.int8)
         at = np.searchsorted(self.starts, local, side="right") - 1
         last = len(self.starts) - 1
