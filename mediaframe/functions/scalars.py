@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,31 +52,63 @@ def rational(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
-def limit_fraction(f: Fraction, low: int, high: int) -> Fraction:
-    """A nearby fraction whose larger side has few digits.
-
-    The side above one is rounded to at most 10^high, then to ever smaller powers of ten down to 10^low, as long as
-    the value does not vanish; fractions above one are treated by their reciprocal."""
-    flip = f > 1
-    x = 1 / f if flip else f
+def closest_fractions(p: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fractions nearest to p/q (in lowest terms, p not above q) with denominators up to ``most``, ties to the smaller one.
+
+    All rows walk their continued fractions together: (h, k) are the last two convergents, rows that reach the bound
+    stop at the best intermediate fraction."""
+    out_p, out_q = p.copy(), q.copy()
+    at = np.flatnonzero(q > most)
+    a, b = p[at], q[at]
+    h = [np.zeros_like(a), np.ones_like(a)]
+    k = [np.ones_like(a), np.zeros_like(a)]
+    while len(at):
+        part = a // b
+        room = np.where(k[1] > 0, (most - k[0]) // np.maximum(k[1], 1), np.iinfo(np.int64).max)
+        stop = part > room
+        if stop.any():
+            s = np.flatnonzero(stop)
+            near_p, near_q = h[0][s] + room[s] * h[1][s], k[0][s] + room[s] * k[1][s]
+            # the convergent is nearer unless the last partial quotient was at least half used up
+            took = 2 * b[s].astype(object) * near_q.astype(object) <= q[at[s]].astype(object)
+            took = took.astype(bool)
+            out_p[at[s]] = np.where(took, h[1][s], near_p)
+            out_q[at[s]] = np.where(took, k[1][s], near_q)
+        go = ~stop
+        at, a, b, part = at[go], a[go], b[go], part[go]
+        h = [h[1][go], h[0][go] + part * h[1][go]]
+        k = [k[1][go], k[0][go] + part * k[1][go]]
+        a, b = b, a - part * b
+    return out_p, out_q
+
+
+def limit_fractions(num: np.ndarray, den: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearby fractions whose larger sides have few digits: at most 10^high, then ever smaller powers of ten down to
+    10^low, as long as the value stays above zero.  Fractions above one are treated by their reciprocals."""
+    num, den = np.where(den < 0, -num, num), np.abs(den)
+    sign, num = np.sign(num), np.abs(num)
+    g = np.maximum(np.gcd(num, den), 1)
+    small, large = np.minimum(num, den) // g, np.maximum(num, den) // g
+    live = small > 0
     for e in range(high, low - 1, -1):
-        y = x.limit_denominator(10**e)
-        if y == 0:
-            break
-        x = y
-    return 1 / x if flip else x
+        p, q = closest_fractions(small[live], large[live], 10**e)
+        at = np.flatnonzero(live)
+        kept = p > 0
+        small[at[kept]], large[at[kept]] = p[kept], q[kept]
+        live[at[~kept]] = False
+    flip = num > den
+    small, large = np.where(num == 0, 0, small), np.where(num == 0, 1, large)
+    return sign * np.where(flip, large, small), np.where(flip, small, large)
 
 
 @F.pandas_udf(T.StringType())
 def nice_fraction(num: pd.Series, den: pd.Series) -> pd.Series:
-    """``limit_fraction`` with powers 9 to 4 as text, null for a zero denominator."""
-    return pd.Series(
-        [
-            None if pd.isna(n) or pd.isna(d) or d == 0 else "/".join(map(str, limit_fraction(Fraction(int(n), int(d)), 4, 9).as_integer_ratio()))
-            for n, d in zip(num, den)
-        ],
-        dtype=object,
-    )
+    """``limit_fractions`` with powers 9 to 4 as text, null for a null or a zero denominator."""
+    ok = (num.notna() & den.notna() & (den.fillna(0) != 0)).to_numpy()
+    p, q = limit_fractions(num[ok].to_numpy(np.int64), den[ok].to_numpy(np.int64), 4, 9)
+    out = pd.Series([None] * len(num), dtype=object)
+    out[ok] = [f"{x}/{y}" for x, y in zip(p, q)]
+    return out
 
 
 def manifest_valid(json: Column) -> Column:
@@ -131,8 +162,6 @@ def rotated_label(label: Column, turns: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Distance on the WGS-84 ellipsoid by Vincenty's inverse formula; null where it does not converge."""
-    import numpy as np
-
     a, f = 6378137.0, 1 / 298.257223563
     b = (1 - f) * a
     u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.operators.ordering import neighbours, number_groups, rank_within
+from mediaframe.operators.ordering import number_groups, rank_within, with_neighbours
 
 
 def equivalence_groups(df: DataFrame, key: Column, member: str) -> DataFrame:
@@ -82,21 +82,17 @@ def sort_within_groups(df: DataFrame, group: str, keys: Sequence[tuple[str | Col
 
 def navigate(df: DataFrame, group: str, value: str, order: Sequence[Column]) -> DataFrame:
     """``df`` with rank, next and previous value in the group, and the first and last of the group."""
-    ranked = rank_within(df, [group], order, "rank")
-    ends = ranked.groupBy(group).agg(F.min_by(value, "rank").alias(f"first_{value}"), F.max_by(value, "rank").alias(f"last_{value}"))
-    return neighbours(ranked, [group], value).join(ends, group)
+    return with_neighbours(df, [group], value, order, "rank", ends=True)
 
 
 def navigate_groups(df: DataFrame, group: str, value: str, order: Sequence[Column]) -> DataFrame:
     """(group, reference value, that of the next, previous, first and last group)."""
     refs = first_rows(df, group, order, [value]).withColumnRenamed(f"first_{value}", value)
-    ranked = rank_within(refs, [], [F.col(group)], "rank")
-    around = neighbours(ranked, [], value)
-    ends = ranked.agg(F.min_by(value, "rank").alias("first_group"), F.max_by(value, "rank").alias("last_group"))
-    return around.join(F.broadcast(ends)).drop("rank")  # one row
+    around = with_neighbours(refs, [], value, [F.col(group)], "rank", ends=True).drop("rank")
+    return around.withColumnsRenamed({f"first_{value}": "first_group", f"last_{value}": "last_group"})
 
 
 def changes(df: DataFrame, group: Sequence[str], value: str, order: Sequence[Column]) -> DataFrame:
     """Rows whose value differs from the one before; no event where either is null."""
-    near = neighbours(rank_within(df, list(group), order, "rank"), group, value)
+    near = with_neighbours(df, list(group), value, order, "rank")
     return near.filter(F.col(value) != F.col(f"prev_{value}"))

@@ -1,19 +1,22 @@
-"""Ranks and running sums without one task per group.
+"""Ranks, neighbours and running sums without an unbounded group in one task.
 
-Rows are range-partitioned by (group, order) and sorted; a row's rank is its place in the partition plus the number
-of rows of its group in the partitions before.  A group that holds a third of all rows spreads over many tasks.
+Groups of at most ``HOT_GROUP`` rows are ordered by a window.  The others are counted first and go another way: their
+rows are range-partitioned by (group, order) and sorted; a row's rank is its place in the partition plus the number of
+rows of its group in the partitions before.  So a group that holds a third of all rows spreads over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaframe.session import stage
 
+#: Rows up to which one task orders a group.
+HOT_GROUP = 1_000_000
 _PLACE = (1 << 33) - 1
 
 
@@ -21,10 +24,41 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+def split_hot(df: DataFrame, group: Sequence[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most ``most`` rows, rows of the larger ones or None).
+
+    Groups are counted by an aggregate; only larger ones, of which there are few, are looked up in a join."""
+    if not group:
+        return df.limit(0), df
+    most = HOT_GROUP if most is None else most
+    sizes = df.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.count("*").alias("_n"))
+    hot = stage(sizes.filter(F.col("_n") > most).drop("_n"), "hot")
+    if hot.isEmpty():
+        return df, None
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
+
+
+def _over(group: Sequence[str], order: Sequence[Column]):
+    return Window.partitionBy(*group).orderBy(*order)
+
+
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank", most: int | None = None) -> DataFrame:
     """``df`` with the 0-based row number inside each group, in the given order; nulls of a group column form a group.
 
     The order has to be total (add a key) for a repeatable result."""
+    plain, hot = split_hot(df, group, most)
+    ranked = plain.withColumn(name, (F.row_number().over(_over(group, order)) - 1).cast("bigint")) if group else None
+    if hot is None:
+        return ranked
+    spread = _rank_spread(hot, group, order, name)
+    return spread if ranked is None else ranked.union(spread)
+
+
+def _rank_spread(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``rank_within`` for groups of any size."""
     keys = [F.col(c) for c in group]
     sort = [k.asc_nulls_last() for k in keys] + list(order)
     placed = df.repartitionByRange(_partitions(df), *sort).sortWithinPartitions(*sort)
@@ -66,8 +100,47 @@ def running_sum(df: DataFrame, value: str, order: Sequence[Column], name: str =
     )
 
 
-def neighbours(ranked: DataFrame, group: Sequence[str], value: str, rank: str = "rank") -> DataFrame:
-    """``ranked`` with ``next_<value>`` and ``prev_<value>`` of its group, null at the borders; joins on group and rank."""
+def with_neighbours(
+    df: DataFrame, group: Sequence[str], value: str, order: Sequence[Column], rank: str = "rank", ends: bool = False, most: int | None = None
+) -> DataFrame:
+    """``df`` with its rank, ``next_<value>`` and ``prev_<value>`` in the group, null at the borders.
+
+    With ``ends`` also ``first_<value>`` and ``last_<value>`` of the group."""
+    plain, hot = split_hot(df, group, most)
+    w = _over(group, order)
+    out = None
+    if group:
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = plain.select(
+            "*",
+            (F.row_number().over(w) - 1).cast("bigint").alias(rank),
+            F.lead(value).over(w).alias(f"next_{value}"),
+            F.lag(value).over(w).alias(f"prev_{value}"),
+            *([F.first(value).over(whole).alias(f"first_{value}"), F.last(value).over(whole).alias(f"last_{value}")] if ends else []),
+        )
+    if hot is None:
+        return out
+    spread = _neighbours_spread(stage(_rank_spread(hot, group, order, rank), "ranks"), group, value, rank)
+    if ends:
+        spread = _with_ends(spread, group, value, rank)
+    return spread if out is None else out.union(spread)
+
+
+def _with_ends(ranked: DataFrame, group: Sequence[str], value: str, rank: str) -> DataFrame:
+    both = [F.min_by(value, rank).alias(f"first_{value}"), F.max_by(value, rank).alias(f"last_{value}")]
+    if not group:
+        low, high = ranked.agg(*both).first()  # two values
+        kind = ranked.schema[value].dataType
+        return ranked.withColumns({f"first_{value}": F.lit(low).cast(kind), f"last_{value}": F.lit(high).cast(kind)})
+    border = ranked.groupBy(*[F.col(g).alias(f"_e{i}") for i, g in enumerate(group)]).agg(*both)
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_e{i}"))
+    return ranked.join(border, on).drop(*[f"_e{i}" for i in range(len(group))])
+
+
+def _neighbours_spread(ranked: DataFrame, group: Sequence[str], value: str, rank: str) -> DataFrame:
+    """Neighbours in groups of any size: joins on group and rank."""
     side = lambda name, shift: ranked.select(
         *[F.col(g).alias(f"_{name}{i}") for i, g in enumerate(group)], (F.col(rank) + shift).alias(f"_{name}r"), F.col(value).alias(name)
     )

@@ -15,10 +15,11 @@ def _known(df: DataFrame, column: str) -> None:
         raise ValueError(f"{column} is not in the data")
 
 
-def count_by(df: DataFrame, column: str, missing: str = "N/A") -> DataFrame:
-    """(column, count); nulls count under ``missing``."""
+def count_by(df: DataFrame, column: str, missing: str = "N/A", ranked: bool = False) -> DataFrame:
+    """(column, count); nulls count under ``missing``.  ``ranked`` orders by count, then value."""
     _known(df, column)
-    return df.groupBy(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(missing)).alias(column)).count()
+    out = df.groupBy(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(missing)).alias(column)).count()
+    return out.orderBy("count", column) if ranked else out
 
 
 def equals_text(df: DataFrame, column: str, value: str, select: Sequence[str] | None = None) -> DataFrame:
@@ -62,14 +63,14 @@ def pivot_labels(df: DataFrame, label: str, most: int = 10_000) -> list[str]:
 
 
 def pivot_first(df: DataFrame, entity: str, label: str, value: str, labels: Sequence[str]) -> DataFrame:
-    """Long rows to one column per label; a cell with more than one row is an error."""
+    """Long rows to one column per label; a cell with more than one row is an error when its row is computed."""
     wide = df.groupBy(entity).pivot(label, list(labels))
     out = wide.agg(F.max(value).alias("v"), F.count(F.lit(1)).alias("n"))
-    if len(labels):
-        worst = out.agg(F.max(F.greatest(*[F.coalesce(F.col(f"`{x}_n`"), F.lit(0)) for x in labels], F.lit(0)))).first()[0]
-        if worst and worst > 1:
-            raise ValueError("a cell has more than one row")
-    return out.select(entity, *[F.col(f"`{x}_v`").alias(x) for x in labels])
+    kind = df.schema[value].dataType
+    one = lambda x: F.when(
+        F.col(f"`{x}_n`") > 1, F.raise_error(F.lit(f"a cell of {x} has more than one row")).cast(kind)
+    ).otherwise(F.col(f"`{x}_v`"))
+    return out.select(entity, *[one(x).alias(x) for x in labels])
 
 
 def sql(df: DataFrame, query: str) -> DataFrame:

@@ -68,17 +68,6 @@ def stage(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     return out
 
 
-def staged_union(tables: list[DataFrame]) -> DataFrame:
-    """One scan over several staged tables of the same columns."""
-    first = tables[0]
-    return first.sparkSession.read.schema(first.schema).parquet(*[t._staged_at for t in tables])
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, whereupon Spark drops shuffles, broadcasts and code of finished steps."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def unstage(df: DataFrame | None) -> None:
     """Remove the files of a staged table that nothing reads any more."""
     path = getattr(df, "_staged_at", None)
@@ -86,6 +75,11 @@ def unstage(df: DataFrame | None) -> None:
         delete_path(df.sparkSession, path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

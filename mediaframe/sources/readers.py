@@ -66,13 +66,22 @@ def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.toDF("a", "b")
 
 
+def _is_table(lines: DataFrame) -> bool:
+    """Whether what was read as lines is one JSON table."""
+    kind = dict(lines.dtypes).get("data", "")
+    return kind.startswith("array<struct") and set(lines.columns) <= {"schema", "data"}
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV, Parquet or a JSON table ({"schema": …, "data": [rows]}), by the suffix."""
+    """CSV, Parquet, JSON lines or a JSON table ({"schema": …, "data": [rows]}), by the suffix and the first line."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".csv"):
         return spark.read.option("header", True).csv(path)
     if path.endswith(".json"):
+        lines = spark.read.json(path)
+        if lines.columns and "_corrupt_record" not in lines.columns and not _is_table(lines):
+            return lines
         return spark.read.option("multiLine", True).json(path).selectExpr("inline(data)")
     raise ValueError(f"unknown kind of file {path}")
 

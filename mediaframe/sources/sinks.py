@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV, Parquet or JSON by the suffix; maps become JSON text in CSV."""
+    """CSV, Parquet or JSON lines by the suffix; maps become JSON text in CSV.  ``read_table`` reads all three."""
     out = df.coalesce(1) if single else df
     if path.endswith(".parquet"):
         out.write.mode("overwrite").parquet(path)
     elif path.endswith(".json"):
-        out.write.mode("overwrite").json(path)
+        out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif path.endswith(".csv"):
         flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.MapType | T.ArrayType | T.StructType) else F.col(f.name) for f in out.schema]
         out.select(*flat).write.mode("overwrite").option("header", True).csv(path)
@@ -31,10 +33,24 @@ def write_groups(df: DataFrame, path: str) -> None:
     write_table(out, path)
 
 
-def duplicate_report(groups: DataFrame, cache: DataFrame) -> DataFrame:
-    """Group members with their metadata; members without any keep their row."""
-    meta = [c for c in ("file_id", "device_id", "filesize", "mod_date", "width", "height") if c in cache.columns]
-    return groups.join(cache.select("path", *meta), "path", "left").select("group", "path", *meta)
+#: Columns of a duplicate report behind group and path (fixed values, the names that the reference writes).
+REPORT = (
+    "file_id", "device_id", "filesize", "mod_date", "width", "height",
+    "exif_date_modified", "exif_date_taken", "exif_date_created", "maker", "model",
+)
+
+
+def duplicate_report(groups: DataFrame, meta: DataFrame, columns: Sequence[str] = REPORT) -> DataFrame:
+    """(group, path) and the eleven columns of the report, for every member of (group, path).
+
+    Members without metadata keep their row with nulls; columns that the metadata lack are null texts, so the report
+    always has its thirteen columns.  Of several rows of a path the one with the newest ``mod_date`` counts."""
+    held = [c for c in columns if c in meta.columns]
+    known = meta.filter("path is not null")
+    rank = [F.col("mod_date")] if "mod_date" in held else []
+    latest = known.groupBy("path").agg(F.max_by(F.struct(*held), F.struct(*rank, *[c for c in held if c != "mod_date"])).alias("m"))
+    cells = [F.col(f"m.{c}") if c in held else F.lit(None).cast("string").alias(c) for c in columns]
+    return groups.select("group", "path").join(latest, "path", "left").select("group", "path", *cells)
 
 
 def append_cache(df: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from mediaframe.operators.hashing import file_sha256
+from mediaframe.session import path_exists
 from mediaframe.sources.readers import uncached
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -22,18 +23,17 @@ def rescan(
     spark: SparkSession, folder: str, cache: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = hash_files
 ) -> StreamingQuery:
     """Process what has come since the last call and stop.  A batch that is run again adds nothing twice, since files
-    that the cache holds (path, size, time) are skipped; order of completion does not matter."""
+    that the cache holds (path, size, time) are skipped before any work is done on them; order of completion does not
+    matter.  A cache that cannot be read is an error, only one that is not there counts as empty."""
     source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(folder)
 
     def commit(batch: DataFrame, _: int) -> None:
-        fresh = work(batch)
-        try:
-            held = batch.sparkSession.read.parquet(cache)
-        except Exception:  # no cache yet
-            held = None
-        if held is not None:
-            fresh = uncached(fresh, held, ["path", "filesize", "mod_date"])
-        fresh.write.mode("append").parquet(cache)
+        spark = batch.sparkSession
+        fresh = batch
+        if path_exists(spark, cache):
+            held = spark.read.parquet(cache).select("path", F.col("filesize").alias("length"), F.col("mod_date").alias("modificationTime"))
+            fresh = uncached(batch, held, ["path", "length", "modificationTime"])
+        work(fresh.select(batch.columns)).write.mode("append").parquet(cache)
 
     return source.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(commit).start()
 

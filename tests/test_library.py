@@ -1,5 +1,6 @@
 from datetime import datetime
 from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import pytest
@@ -59,6 +60,70 @@ def test_l2_blocks_and_empty(spark, rows):
     assert rows(simjoin.l2_pairs(df.limit(0), "id", "v", 0.5, True)) == []
 
 
+def brute_pairs(x, t):
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    return {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= t)) if i < j}
+
+
+@pytest.mark.parametrize("spread, t", [(0.02, 0.3), (0.4, 0.3), (5.0, 20.0), (0.02, 0.0)])
+@pytest.mark.parametrize("block_rows", [15, 60])
+def test_l2_pairs_in_cells(spark, spread, t, block_rows):
+    """Clustered and unclustered vectors, one cluster with a third of all rows, many pivots."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 4))
+    x = centres[np.where(np.arange(240) % 3 == 0, 0, rng.integers(0, 12, 240))] + rng.normal(size=(240, 4)) * spread
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    got = [r[:2] for r in simjoin.l2_pairs(df, "id", "v", t, True, block_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(x, t)
+
+
+def test_l2_classes_and_links(spark, rows):
+    x = [[0.0, 0.0]] * 40 + [[0.0, 0.5]] * 3 + [[9.0, 9.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(99, None)], "id bigint, v array<double>")
+    pairs, classes = simjoin.l2_pairs(df, "id", "v", 1.0), simjoin.vector_classes(df, "id", "v")
+    assert rows(pairs) == [(0, 40, 0.5)] and dict((r[1], r[0]) for r in rows(classes))[42] == 40
+    links = dict(rows(simjoin.link_counts(df, pairs, "id", classes)))
+    assert links[0] == 39 + 3 and links[41] == 2 + 40 and links[43] == 0 and links[99] == 0
+
+
+@pytest.mark.parametrize("block_rows", [5, 1000])
+def test_label_match_against_brute_force(spark, block_rows):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=(45, 3))
+    labels = [f"l{i % 7}" if i % 9 else None for i in range(45)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(60, None)], "id bigint, v array<double>")
+    store = spark.createDataFrame([(v.tolist(), name) for v, name in zip(y, labels)], "v array<double>, label string")
+    want = {60: ([], [])}
+    for i, v in enumerate(x):
+        d = ((y - v) ** 2).sum(1)
+        near = lambda lo, hi: sorted({n for n, e in zip(labels, d) if n and lo < e <= hi})
+        want[i] = (near(-1, 0.5), near(0.5, 1.5))
+    got = {r.id: (r.sure, r.suggested) for r in simjoin.label_match(df, store, "id", "v", "label", 0.5, 1.5, block_rows).collect()}
+    assert got == want
+    assert {r.sure == [] for r in simjoin.label_match(df, store.limit(0), "id", "v", "label", 0.5, 1.5).collect()} == {True}
+
+
+def test_label_store_grows(spark, tmp_path):
+    face = lambda *r: spark.createDataFrame(list(r), "id bigint, v array<double>, name string")
+    store = simjoin.LabelStore(spark, str(tmp_path / "store"), "id", "v", "name")
+    ask = lambda: [(r.id, r.sure) for r in store.match(face((9, [0.1, 0.0], None)), 0.5, 1.0).collect()]
+    assert ask() == [(9, [])]
+    for _ in range(2):  # the same batch twice
+        store.confirm(face((1, [0.0, 0.0], "ann"), (2, [5.0, 5.0], "bob"), (3, [0.0, 0.1], None)))
+    assert ask() == [(9, ["ann"])] and store.table().count() == 2
+
+
+def test_nearest_hamming(spark):
+    rng = np.random.default_rng(8)
+    w = rng.integers(0, 6, (150, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)] + [(900, None)], "id bigint, w array<bigint>").repartition(5)
+    d = np.bitwise_count(w[:, None, :] ^ w[None, :, :]).sum(2)
+    for include, size in product((False, True), (64 << 20, 1000)):
+        got = simjoin.nearest_hamming(df, df.filter("id % 10 = 0"), "id", "w", 4, include, size).collect()
+        want = {(i, r + 1, int(j)) for i in range(0, 150, 10) for r, j in enumerate([j for j in np.lexsort((np.arange(150), d[i])) if include or j != i][:4])}
+        assert {(r.query, r["rank"], r.neighbour) for r in got} == want
+
+
 def test_approximate_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))
@@ -97,6 +162,24 @@ def test_components(spark, rows):
     assert rows(graph.connected_components(e.limit(0))) == []
 
 
+@pytest.mark.parametrize("most", [0, 30, 1000])
+def test_neighbours_of_bounded_and_hot_groups(spark, most):
+    rng = np.random.default_rng(0)
+    data = [(None if i % 7 == 0 else i % 3 if i % 2 else 0, int(v), i) for i, v in enumerate(rng.integers(0, 40, 150))]
+    df = spark.createDataFrame(data, "g int, v int, id int")
+    got = ordering.with_neighbours(df, ["g"], "id", [F.col("v"), F.col("id")], "r", True, most).collect()
+    assert len(got) == 150
+    for g in {d[0] for d in data}:
+        ids = [d[2] for d in sorted((d for d in data if d[0] == g), key=lambda d: d[1:])]
+        for r in got:
+            if r.g == g:
+                i = ids.index(r.id)
+                assert (r.r, r.next_id, r.prev_id) == (i, ids[i + 1] if i + 1 < len(ids) else None, ids[i - 1] if i else None)
+                assert (r.first_id, r.last_id) == (ids[0], ids[-1])
+    ranked = ordering.rank_within(df, ["g"], [F.col("v"), F.col("id")], "r", most)
+    assert {(r.id, r.r) for r in ranked.collect()} == {(r.id, r.r) for r in got}
+
+
 def test_ranks_span_partitions(spark):
     df = spark.createDataFrame([(i % 3 if i % 2 else None, i) for i in range(200)], "g int, v int")
     got = ordering.rank_within(df, ["g"], [F.col("v").desc()], "r").collect()
@@ -137,9 +220,9 @@ def test_priority_errors(spark):
 
 
 @pytest.mark.parametrize("date, sub, off, local, east, bad", [
-    ("2000:01:01 00:00:00", None, None, datetime(2000, 1, 1), None, False), ("2000-01-01 00:00:00\0", "123456", None, datetime(2000, 1, 1, 0, 0, 0, 123456), None, False),
-    ("2000:01:01 00:00:00", "123\0", "+0100", datetime(2000, 1, 1, 0, 0, 0, 123000), 3600, False), ("", None, None, None, None, False),
-    ("2000:02:30 00:00:00", None, None, None, None, True), ("0:0:0 0:0:0", None, None, None, None, True), ("asd", None, None, None, None, True),
+    ("2014:08:09 16:05:31", None, None, datetime(2014, 8, 9, 16, 5, 31), None, False), ("2014-08-09 16:05:31\0", "0625", None, datetime(2014, 8, 9, 16, 5, 31, 62500), None, False),
+    ("2014:08:09 16:05:31", "7\0", "-0330", datetime(2014, 8, 9, 16, 5, 31, 700000), -12600, False), (" ", None, None, None, None, False),
+    ("2015:02:29 01:00:00", None, None, None, None, True), ("0000:00:00 00:00:00", None, None, None, None, True), ("noon", None, None, None, None, True),
 ])
 def test_exif_datetime(spark, date, sub, off, local, east, bad):
     df = spark.createDataFrame([(date, sub, off)], "d string, s string, o string")
@@ -147,9 +230,20 @@ def test_exif_datetime(spark, date, sub, off, local, east, bad):
     assert (got.local, got.offset_seconds, got.error) == (local, east, bad)
 
 
-@pytest.mark.parametrize("f, want", [((0, 1), (0, 1)), ((1, 100000), (1, 100000)), ((9, 10000), (1, 1000)), ((10000, 9), (1000, 1)), ((99, 10000), (1, 101)), ((10000, 99), (101, 1))])
-def test_limit_fraction(f, want):
-    assert scalars.limit_fraction(Fraction(*f), 3, 9) == Fraction(*want)
+def test_limit_fractions():
+    rng = np.random.default_rng(0)
+    q = rng.integers(1, 2**44, 400)
+    p = (rng.random(400) * q).astype(np.int64)
+    for most in (12, 5000, 10**9):
+        x, y = scalars.closest_fractions(p // np.gcd(p, q), q // np.gcd(p, q), most)
+        assert [Fraction(int(a), int(b)) for a, b in zip(x, y)] == [Fraction(int(a), int(b)).limit_denominator(most) for a, b in zip(p, q)]
+    got = lambda n, d: tuple(int(v[0]) for v in scalars.limit_fractions(np.array([n]), np.array([d]), 2, 6))
+    assert got(0, 7) == (0, 1) and got(7, 30_011) == (2, 8575) and got(30_011, 7) == (8575, 2) and got(-3, 6) == (-1, 2) and got(1, -10**12) == (-1, 10**12)
+
+
+def test_nice_fraction(spark):
+    df = spark.createDataFrame([(1, 3), (31_416, 10_000), (1, 0), (None, 2)], "n bigint, d bigint")
+    assert [r[0] for r in df.select(scalars.nice_fraction("n", "d")).collect()] == ["1/3", "3927/1250", None, None]
 
 
 @pytest.mark.parametrize("raw, want", [("/a//b/./c/../d/", "/a/b/d"), ("/..", "/"), ("a/../..", ".."), ("./x", "x"), ("", None), ("a/..", "."), ("/A/b", "/A/b"), (None, None)])
@@ -158,13 +252,13 @@ def test_shortest_path(spark, raw, want):
 
 
 def test_text_and_sql(spark, rows):
-    df = spark.createDataFrame([("dir/asd.ext", "Canon EOS"), ("asd", "x"), (".", None)], "path string, m string")
-    assert [r[0] for r in df.select(text.with_stem(F.col("path"), F.lit("qwe"))).collect()] == ["dir/qwe.ext", "qwe", None]
-    assert rows(stats.sqlite_sql(df, "select path from df where m like '%canon eos%'")) == [("dir/asd.ext",)]
+    df = spark.createDataFrame([("trip/sea.v1.heic", "Velmora 70"), ("hill", "x"), ("..", None)], "path string, m string")
+    assert [r[0] for r in df.select(text.with_stem(F.col("path"), F.lit("lake"))).collect()] == ["trip/lake.heic", "lake", None]
+    assert rows(stats.sqlite_sql(df, "select path from df where m like '%VELMORA%'")) == [("trip/sea.v1.heic",)]
     assert stats.sqlite_dialect("a like 'b like c'") == "a ILIKE 'b like c'"
     assert stats.drop_null_columns(spark.createDataFrame([(1, None)], "a int, b int")).columns == ["a"]
-    with pytest.raises(ValueError):
-        stats.pivot_first(spark.createDataFrame([("p", "k", "1"), ("p", "k", "2")], "e string, k string, v string"), "e", "k", "v", ["k"])
+    with pytest.raises(Exception, match="more than one row"):
+        stats.pivot_first(spark.createDataFrame([("p", "k", "1"), ("p", "k", "2")], "e string, k string, v string"), "e", "k", "v", ["k"]).collect()
 
 
 def test_pivot_holds_every_line(spark):

@@ -1,10 +1,13 @@
+import json
 import struct
 import zlib
 
+import pytest
+
 from mediaframe.operators.hashing import image_values, quality_scores
 from mediaframe.sources import readers, sinks
 from mediaframe.sources.exif import TAGS, decode, entries, exif_rows, label_of
-from mediaframe.streaming.rescan import rescan
+from mediaframe.streaming.rescan import hash_files, rescan
 
 
 def png(path, shade=0):
@@ -96,6 +99,36 @@ def test_rescan_adds_only_new_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 3
 
 
+def test_rescan_works_on_new_files_only(spark, tmp_path):
+    worked = []
+
+    def work(files):
+        worked.append(sorted(r.path[-5:] for r in files.collect()))
+        return hash_files(files)
+
+    (tmp_path / "in").mkdir()
+    for i, name in enumerate("ab"):
+        (tmp_path / "in" / f"{name}.bin").write_bytes(bytes([i]))
+        rescan(spark, str(tmp_path / "in"), str(tmp_path / "cache"), str(tmp_path / f"ck{i}"), work).awaitTermination()  # reads all again
+    assert worked == [["a.bin"], ["b.bin"]] and spark.read.parquet(str(tmp_path / "cache")).count() == 2
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?s)."):
+        rescan(spark, str(tmp_path / "in"), str(tmp_path / "broken"), str(tmp_path / "ck9")).awaitTermination()
+
+
+def test_json_both_layouts(spark, tmp_path, rows):
+    df = spark.createDataFrame([(1, "/a", None), (2, "/b", "m")], "group bigint, path string, maker string")
+    sinks.write_table(df, str(tmp_path / "g.json"))
+    assert rows(readers.read_table(spark, str(tmp_path / "g.json")).select("group", "path", "maker")) == [(1, "/a", None), (2, "/b", "m")]
+    for i, indent in enumerate((None, 2)):
+        (tmp_path / f"t{i}.json").write_text(json.dumps({"schema": {"fields": []}, "data": [{"x": 1, "y": "b"}, {"x": 2, "y": None}]}, indent=indent))
+        assert rows(readers.read_table(spark, str(tmp_path / f"t{i}.json"))) == [(1, "b"), (2, None)]
+    lines = spark.createDataFrame([([1, 2],)], "data array<int>")
+    sinks.write_table(lines, str(tmp_path / "l.json"))
+    assert rows(readers.read_table(spark, str(tmp_path / "l.json"))) == [([1, 2],)]
+
+
 def test_csv_round_trip(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, "/a", ""), (2, "/b", "m")], "group bigint, path string, maker string")
     sinks.write_table(df, str(tmp_path / "g.csv"))
