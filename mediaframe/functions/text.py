@@ -15,8 +15,9 @@ OUTER = r"[\s\x00\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _TRIM = rf"^{OUTER}+|{OUTER}+$"
 _SPACE = rf"{OUTER}+"
 
-#: Public word-and-punctuation pattern with Unicode classes.
-TOKEN = r"(?U)\w+|[^\w\s]+"
+#: Public word-and-punctuation pattern with Unicode classes as Python reads it: letters, numbers of
+#: all kinds and the underscore are word characters, marks are not.
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 #: Cyrillic and Greek letters that look like Latin ones (fixed values, from the Unicode confusables).
 LOOKALIKE_FROM = "авекмнорстухіјѕԁһԛԝɡαβεικνορτυχ"
