@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaframe.llm.canonical import map_to_canonical
+from mediaframe.llm.checks import ORACLE as ORACLE
 from mediaframe.llm.consolidate import consolidate, group_table
 from mediaframe.llm.frequency import term_frequencies
 from mediaframe.llm.history import dedup_batches
@@ -95,50 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p9_found, p9_report, p9_overlap, p9_selected, p10_found, p10_pieces,
     )
 }
-
-_VALUES = r"""
-  rows as (select case lower(regexp_replace(key_label, '\s+', '', 'g')) when '0thmodel' then '0th Model' else 'Exif Lense model' end as key_label,
-             path, lower(regexp_replace(value_label, '^[\s\x00\x{A0}\x{3000}]+|[\s\x00\x{A0}\x{3000}]+$', '', 'g')) as v from meta_stats
-           where lower(regexp_replace(key_label, '\s+', '', 'g')) in ('0thmodel', 'exiflensemodel') and path is not null),
-  used as (select * from rows where v <> ''),
-  items as (select key_label, path, 'value' as kind, v as item from used union all
-            select key_label, path, 'term', unnest(regexp_extract_all(v, '[\p{L}\p{N}]+')) from used),
-  totals as (select key_label, count(distinct path) as n from used group by all),
-  counted as (select key_label, kind, item, count(*) as n_occurrences, count(distinct path) as n_records from items group by all),
-  marked as (select c.*, case when n_records <= 2 then 'rare' when n_records > 0.06::double * t.n then 'common' end as mark
-             from counted c join totals t using (key_label))"""
-
-_DATES = "('1970-01-01 00:00:00', '1980-01-01 00:00:00', '2107-12-31 23:59:58')"
-_NONE = "('', 'null', 'unknown', '????', 'n/a', '-', '(none)')"
-_ORDER = f"""order by case when checked is null then 2 when checked then 1 else 0 end,
-    case when priority >= 0 then priority end nulls last,
-    case when mod_date::timestamp::varchar not in {_DATES} then mod_date end desc nulls last,
-    case when filesize > 0 then filesize end desc nulls last, row_id"""
-
-
-def _best(field: str, ok: str) -> str:
-    return (
-        f"select group_id, '{field}' as field, row_id from dup_groups where group_id is not null and {field} is not null "
-        f"and {ok} qualify row_number() over (partition by group_id {_ORDER}) = 1"
-    )
-
-
-_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{3000}\x{A0}]+'))"
-_SOURCE = r"regexp_replace(lower(trim(source)), '[\s_-]+', '-', 'g')"
-
-ORACLE: dict[str, str] = {
-    "p5_found": f"with {_VALUES.strip()} select key_label, kind, item, mark from marked where mark is not null",
-    "p5_frequencies": f"with {_VALUES.strip()} select key_label, kind, item, n_occurrences, n_records, mark from marked",
-    "p6_found": " union all ".join(
-        f"({_best(f, ok)})"
-        for f, ok in [
-            *[(f, f"{f} > 0") for f in ("filesize", "width", "height")],
-            *[(f, f"{f}::timestamp::varchar not in {_DATES}") for f in ("mod_date", "exif_date_taken")],
-            *[(f, f"lower(trim({f})) not in {_NONE}") for f in ("maker", "model")],
-        ]
-    ),
-    "p9_found": f"""with d as (select {_SOURCE} as s, {_TOKENS} as n from documents where source is not null),
-        m as (select *, {_SOURCE} as s from mix_sources), own as (select m.source, target_share, max_repeats, coalesce(sum(n), 0) as t
-        from m left join d using (s) group by all) select source from own
-        where target_share * (select sum(t) from own) > max_repeats * t""",
-}

@@ -116,14 +116,14 @@ def elect_values(groups: DataFrame, fields: Sequence[str] = FIELDS, half_life_da
     a group that holds a third of all rows is reduced before it is shuffled.
 
     * A vote is source trust times recency decay, half per ``half_life_days`` between the row and the newest of its
-      group.  Votes are decimals of 20 digits behind the point (a row 66 half-lives old has none), so sums do not
-      depend on the order of rows.
+      group.  Votes are decimals of 20 digits behind the point, so sums do not depend on the order of rows, and sums
+      are compared to 12 digits, so equal ones tie; the newest row of a group alone is far above that.
     * With ``half_life_days`` None a vote outweighs all votes of less trusted rows together, however many they are.
       The sum of such votes is ordered like its greatest one, so that one stands for it.
 
     Rows without a group are ignored; a field without a usable value is null; a group without any has no row; repeated
     rows tie, and the smaller row_id wins; an empty input gives no row; other columns are not read."""
-    total = F.sum if half_life_days is not None else F.max
+    total = F.max if half_life_days is None else lambda vote: F.round(F.sum(vote), 12)
     winners = (
         _votes(groups, fields, half_life_days)
         .groupBy("group_id", "field", "norm")
