@@ -1,7 +1,10 @@
-"""SQL that checks the queries of this folder on whole tables."""
+"""SQL that checks the queries of this folder on whole tables.  Fixed word lists are those of the operators."""
 
 from __future__ import annotations
 
+from mediaframe.functions.text import LOOKALIKE_FROM, LOOKALIKE_TO
+from mediaframe.llm.canonical import NO_MAKER, NOISE
+
 _VALUES = r"""
   rows as (select case lower(regexp_replace(key_label, '\s+', '', 'g')) when '0thmodel' then '0th Model' else 'Exif Lense model' end as key_label,
              path, lower(regexp_replace(value_label, '^[\s\x00\x{A0}\x{3000}]+|[\s\x00\x{A0}\x{3000}]+$', '', 'g')) as v from meta_stats
@@ -114,7 +117,53 @@ _HISTORY = """with recursive h as (select hash_id as id, hash::bit as x from has
     last as (select unnest(kept) as a from r where n = (select max(n) from r))
     select min(a) as kept_id, b as dup_id from p join last using (a) where b not in (select a from last) group by b"""
 
+_TWINS = (LOOKALIKE_FROM, LOOKALIKE_TO)
+
+
+def _plain_sql(c: str) -> str:
+    """A name as lower-case words of letters and of digits, ``#n`` for a generation."""
+    c = f"translate(strip_accents(lower(translate(coalesce({c}, ''), '{_FULL}', '{_HALF}'))), '{_TWINS[0]}', '{_TWINS[1]}')"
+    steps = [
+        (r"[\p{M}\p{Cf}]+", ""), ("[^a-z0-9]+", " "), ("([a-z])([0-9])", r"\1 \2"), ("([0-9])([a-z])", r"\1 \2"),
+        (r"(?:digital *)?camera\b|digital\b", " "), (r"\b(?:" + "|".join(NOISE) + r")\b", " "),
+        (r"\b(?:mark|mk) *(iii|ii|iv|vi|v|i|[0-9]+)\b", r" #\1 "), (r"(^|[^#a-z])(iii|ii|iv|vi)\b", r"\1 #\2 "),
+        *[(rf"#{roman}\b", f"#{n}") for roman, n in (("iii", 3), ("ii", 2), ("iv", 4), ("vi", 6), ("v", 5), ("i", 1))],
+        (r"(^| )([a-z]) +([0-9]+)\b", r"\1\2\3"), (" +", " "),
+    ]
+    for pattern, by in steps:
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    return f"trim({c})"
+
+
+_GRADE = "^([a-z ]*?[a-z]{3})((?: *(?:pro|lite|plus|max|mini|ultra))+)$"
+_HEAD = "regexp_replace(regexp_extract({0}, '^((?:[a-z]+(?: |$))*)', 1), ' ', '', 'g')"
+
+
+def _split_sql(p: str) -> str:
+    """letters and signature of a plain name."""
+    body = f"case when regexp_matches({p}, '{_GRADE}') then regexp_extract({p}, '{_GRADE}', 1) else {p} end"
+    sig = f"case when regexp_matches({p}, '{_GRADE}') then replace(regexp_extract({p}, '{_GRADE}', 2), ' ', '') else regexp_replace({p}, '^(?:[a-z]+(?: |$))*', '') end"
+    return f"{_HEAD.format(f'({body})')} as letters, {sig} as sig"
+
+
+_EDITS = "case when length({0}) <= 2 then 0 when length({0}) <= 4 then 1 when length({0}) <= 7 then 3 when length({0}) <= 12 then 4 else 5 end"
+_NO = ", ".join(f"'{x.replace(' ', '')}'" for x in NO_MAKER)
+# every text against every name with the same signature
+_CANONICAL = f"""with forms as (select model_id, {_plain_sql("maker")} as mk, unnest([model, maker || ' ' || model, alias, maker || ' ' || alias, model_code, maker || ' ' || model_code]) as f from camera_models),
+    names as (select distinct model_id, {_HEAD.format("mk")} as maker_letters, {_split_sql("p")} from (select *, {_plain_sql("f")} as p from forms where f is not null) where p <> ''),
+    need as (select item_id, maker, model from rename_items where regexp_replace(model, '^[{_SPACE}\x00]+|[{_SPACE}\x00]+$', '', 'g') <> ''
+        and not exists (select 1 from camera_models c where c.maker = rename_items.maker and c.model = rename_items.model)),
+    pairs as (select distinct maker, model, {_plain_sql("maker")} as pm, {_plain_sql("model")} as pn from need),
+    one as (select maker, model, replace(other, ' ', '') as given, {_split_sql("p")} from (select maker, model, pn as p, pm as other from pairs union all select maker, model, pm, pn from pairs)),
+    texts as (select * from one union all select maker, model, given, left(letters, -1), right(letters, 1) || sig from one where length(letters) > 1 and regexp_matches(sig, '^[0-9]')),
+    near as (select maker, model, model_id, levenshtein(t.letters, n.letters) as d, case when given in ({_NO}) then 0 else levenshtein(given, maker_letters) end as md, given, maker_letters
+        from texts t join names n using (sig) where levenshtein(t.letters, n.letters) <= {_EDITS.format("n.letters")}),
+    best as (select maker, model, model_id, min(d + md) as d from near where md = 0 or (md <= {_EDITS.format("maker_letters")} and given not in (select maker_letters from names)) group by all),
+    named as (select maker, model, arg_min(model_id, d) as model_id from (select *, rank() over (partition by maker, model order by d) as r from best) where r = 1 group by maker, model having count(*) = 1)
+    select item_id, coalesce(named.model_id, 0) as model_id from need left join named on need.maker is not distinct from named.maker and need.model = named.model"""
+
 ORACLE: dict[str, str] = {
+    "p4_found": _CANONICAL,
     "p2_found": _HISTORY,
     "p7_found": f"{_GROUPS} select root_path, path from g where path <> root_path",
     "p7_groups": f'{_GROUPS} select root_path as "group", path from g',
