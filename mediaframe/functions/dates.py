@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mediaframe.functions.text import let
+
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 _YEAR_FIRST = rf"^(\d{{4}})[:\-/.](\d{{1,2}})[:\-/.](\d{{1,2}})[T ]+{_TIME}"
 _DAY_FIRST = rf"^(\d{{1,2}})[:\-/.](\d{{1,2}})[:\-/.](\d{{4}})[T ]+{_TIME}"
@@ -122,3 +124,23 @@ def iso_date(c: Column) -> Column:
 def iso_time(c: Column) -> Column:
     """Time of day as ISO text; the fraction only where there is one."""
     return F.regexp_replace(F.date_format(c, "HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
+#: Date, offset and sub-second entries of the three EXIF dates (fixed values, names of the EXIF standard).
+EXIF_DATES = {
+    "modified": ("0th-DateTime", "Exif-OffsetTime", "Exif-SubSecTime"),
+    "original": ("Exif-DateTimeOriginal", "Exif-OffsetTimeOriginal", "Exif-SubSecTimeOriginal"),
+    "digitized": ("Exif-DateTimeDigitized", "Exif-OffsetTimeDigitized", "Exif-SubSecTimeDigitized"),
+}
+
+
+def exif_dates(tags: Column) -> Column:
+    """Struct (modified, original, digitized) of a map of EXIF entries; missing and malformed dates are null.
+
+    Each is a struct (local, offset_seconds)."""
+    out = []
+    for name, (date, offset, subsec) in EXIF_DATES.items():
+        read = exif_datetime(tags[date], tags[subsec], tags[offset])
+        kept = lambda x: F.struct(x["local"].alias("local"), x["offset_seconds"].alias("offset_seconds"))
+        out.append(let(read, lambda x: F.when(x["local"].isNotNull(), kept(x))).alias(name))
+    return F.struct(*out)

@@ -187,3 +187,26 @@ def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Seri
         bb = uu / 1024 * (256 + uu * (uu * (74 - 47 * uu) - 128))
         d = bb * sin_sig * (mid + bb / 4 * (cos_sig * (2 * mid**2 - 1) - bb / 6 * mid * (4 * sin_sig**2 - 3) * (4 * mid**2 - 3)))
     return pd.Series(b * aa * (sig - d) / 1000)
+
+
+def exif_value(c: Column, kind: str) -> Column:
+    """The text of an EXIF entry as ``ascii``, ``utf-8``, ``int``, ``float``, ``rational`` or ``tuple-of-rational``.
+
+    Bad values are null, and so is a rational with a zero denominator; rationals are structs (num, den)."""
+
+    def fraction(x: Column) -> Column:
+        part = lambda i: F.regexp_extract(x, r"^\s*(-?\d+)/(-?\d+)\s*$", i).try_cast("bigint")
+        return F.when(part(2) != 0, F.struct(part(1).alias("num"), part(2).alias("den")))
+
+    if kind == "ascii":
+        return F.when(~c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(c, r"\x00+$", ""))
+    if kind == "utf-8":
+        return c
+    if kind in ("int", "float"):
+        return F.trim(c).try_cast({"int": "bigint", "float": "double"}[kind])
+    if kind == "rational":
+        return fraction(c)
+    if kind == "tuple-of-rational":
+        all_ = F.transform(F.split(c, ","), fraction)
+        return F.when(~F.exists(all_, lambda x: x.isNull()), all_)
+    raise ValueError(f"unsupported kind {kind}")

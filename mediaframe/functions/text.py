@@ -172,3 +172,13 @@ def template(pattern: str, **columns: Column) -> Column:
         pieces += [F.lit(pattern[at : m.start()]), columns[m.group(1)].cast("string")]
         at = m.end()
     return F.concat(*pieces, F.lit(pattern[at:]))
+
+
+def dashed(c: Column) -> Column:
+    """Spaces and colons as dashes, as names of files have them."""
+    return F.translate(c, " :", "--")
+
+
+def hex_bytes(c: Column) -> Column:
+    """Bytes of a hexadecimal text, null if it is none."""
+    return F.when(c.rlike("^(?:[0-9A-Fa-f]{2})*$"), F.unhex(c))

@@ -77,3 +77,13 @@ def gamma_table(inv_in: float, inv_out: float = 1 / 2.2) -> list[int]:
 def apply_table(pixels: Column, table: list[int]) -> Column:
     lut = F.array(*[F.lit(x) for x in table])
     return F.transform(pixels, lambda p: lut[p.cast("int")])
+
+
+def product(shape: Column) -> Column:
+    """Product of the elements, 1 for an empty array."""
+    return F.aggregate(shape, F.lit(1).cast("bigint"), lambda p, x: p * x.cast("bigint"))
+
+
+def concatenated(chunks: Column) -> Column:
+    """One array out of an array of arrays; no chunks give an empty array."""
+    return F.flatten(chunks)

@@ -96,3 +96,23 @@ def changes(df: DataFrame, group: Sequence[str], value: str, order: Sequence[Col
     """Rows whose value differs from the one before; no event where either is null."""
     near = with_neighbours(df, list(group), value, order, "rank")
     return near.filter(F.col(value) != F.col(f"prev_{value}"))
+
+
+def hard_links(files: DataFrame, device: str, inode: str, path: str, pos: str) -> DataFrame:
+    """``files`` with ``first_path`` and ``n_links``: rows of one (device, inode) are one file, of which only the first
+    path, by ``pos``, is worked on.
+
+    Rows without a device or an inode are files of their own.  The first path is an aggregate, so a file with a third
+    of all paths is reduced where its rows lie."""
+    known = files.filter(F.col(device).isNotNull() & F.col(inode).isNotNull())
+    first = known.groupBy(device, inode).agg(F.min_by(path, pos).alias("first_path"), F.count_distinct(path).alias("n_links"))
+    alone = files.filter(F.col(device).isNull() | F.col(inode).isNull())
+    alone = alone.withColumns({"first_path": F.col(path), "n_links": F.lit(1).cast("bigint")})
+    return known.join(first, [device, inode]).select(alone.columns).union(alone)
+
+
+def lookup_one(df: DataFrame, group: str, chosen: Column, column: str) -> DataFrame:
+    """(group, column) of the one chosen row of each group; none or several are an error when the group is computed."""
+    found = df.groupBy(group).agg(F.count_if(chosen).alias("n"), F.max(F.when(chosen, F.struct(F.col(column)))).alias("w"))
+    wrong = F.raise_error(F.concat(F.lit("rows that match in a group: "), F.col("n").cast("string")))
+    return found.select(group, F.when(F.col("n") == 1, F.col(f"w.{column}")).otherwise(wrong.cast(dict(df.dtypes)[column])).alias(column))

@@ -156,3 +156,8 @@ def _neighbours_spread(ranked: DataFrame, group: Sequence[str], value: str, rank
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """An explicit row order for a freshly read table: file order where the source keeps one."""
     return df.withColumn(name, F.monotonically_increasing_id().cast(T.LongType()))
+
+
+def rank_rows(df: DataFrame, columns: Sequence[str], name: str = "rank") -> DataFrame:
+    """Rows in lexicographic order of the columns, the first one dominant, nulls last; the rest of ties by nothing."""
+    return rank_within(df, [], [F.col(c).asc_nulls_last() for c in columns], name)

@@ -56,3 +56,12 @@ def move_plan(files: DataFrame, path: str, folder: str) -> DataFrame:
 
 def undo_plan(moves: DataFrame) -> DataFrame:
     return moves.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")
+
+
+def pending_outputs(files: DataFrame, path: str, mark: str = ".pp") -> DataFrame:
+    """(path, output): files whose output, the name with ``mark`` before the suffix, is not there yet; outputs are none."""
+    p = F.col(path)
+    folder = F.regexp_extract(p, r"^(.*/)?[^/]*$", 1)
+    out = files.select(p.alias("path"), F.concat(folder, text.stem(p), F.lit(mark), text.suffix(p)).alias("output"))
+    out = out.filter(~text.stem(F.col("path")).endswith(mark))
+    return out.join(files.select(p.alias("output")).distinct(), "output", "left_anti").select("path", "output")

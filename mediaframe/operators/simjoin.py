@@ -525,3 +525,32 @@ class LabelStore:
         if store is not None:
             rows = rows.join(store.select(self.key, self.label).distinct(), [self.key, self.label], "left_anti").select(self.key, self.vector, self.label)
         rows.write.mode("append").parquet(self.path)
+
+
+def neighbour_lists(found: DataFrame) -> DataFrame:
+    """(query, neighbours): the ranked neighbours of each query as one list, at most k long."""
+    rows = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("x"))
+    return rows.select("query", F.transform("x", lambda x: x["neighbour"]).alias("neighbours"))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, function: Callable, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What ``function(left block, right block)`` makes of every pair of blocks of two frames with a column ``k``.
+
+    It serves functions of whole matrices, such as products, that need every pair; joins with a threshold have their
+    own ways above.  Rows are dealt to blocks of about ``block_rows`` by a hash of ``k``; each pair is one group of two."""
+    n, m = (max(1, math.ceil(d.count() / block_rows)) for d in (left, right))
+
+    def dealt(d: DataFrame, own: str, other: str, mine: int, others: int) -> DataFrame:
+        to = F.sequence(F.lit(0), F.lit(others - 1))
+        return d.withColumn(own, F.pmod(F.xxhash64("k"), F.lit(mine)).cast("int")).withColumn(other, F.explode(to))
+
+    a, b = dealt(left, "_x", "_y", n, m), dealt(right, "_y", "_x", m, n)
+    drop = lambda d: d.drop(columns=["_x", "_y"])
+    return a.groupBy("_x", "_y").cogroup(b.groupBy("_x", "_y")).applyInPandas(lambda x, y: function(drop(x), drop(y)), schema)
+
+
+def shared_array(spark: SparkSession, array: np.ndarray, most_bytes: int = QUERY_BYTES):
+    """A broadcast of an array of a checked size."""
+    if array.nbytes > most_bytes:
+        raise ValueError(f"{array.nbytes} bytes are too many for every task")
+    return spark.sparkContext.broadcast(array)

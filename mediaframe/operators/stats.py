@@ -98,3 +98,35 @@ def batch_slices(df: DataFrame, total: str, batch: int) -> DataFrame:
 
 def accuracy(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     return df.agg(F.avg((F.col(predicted) == F.col(actual)).cast("double")).alias("accuracy"))
+
+
+def cross_entropy(df: DataFrame, probabilities: str, label: str) -> DataFrame:
+    """(cross_entropy): mean of -ln of the probability that each row gives its label; labels count from 0."""
+    p = F.get(F.col(probabilities), F.col(label).cast("int"))
+    return df.agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-300)))).alias("cross_entropy"))
+
+
+def value_sets(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, values): the set of distinct tuples of the columns per key, sorted.
+
+    Tuples are made distinct before they are collected, so a list is as long as the set and no longer."""
+    rows = df.select(key, *columns).distinct()
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("values"))
+
+
+def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
+    """The distinct elements of a column of lists, sorted; nulls are none."""
+    return df.select(F.explode(column).alias(column)).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def union_all(frames: Sequence[DataFrame], empty: DataFrame) -> DataFrame:
+    """All rows of the frames by column name; without any frame the (empty) frame that names the columns."""
+    out = empty.limit(0)
+    for f in frames:
+        out = out.unionByName(f)
+    return out
+
+
+def other_columns(columns: Sequence[str], without: Sequence[str]) -> list[str]:
+    """The columns that are not among the others, in their order."""
+    return [c for c in columns if c not in set(without)]

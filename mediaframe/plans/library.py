@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaframe.functions import dates, scalars, text, vectors
-from mediaframe.operators import graph, groups, ordering, priority, rename, simjoin, stats
+from mediaframe.operators import graph, groups, hashing, ordering, priority, rename, simjoin, stats
 from mediaframe.plans.tables import table
 from mediaframe.sources import readers
 from mediaframe.streaming.rescan import event_counts
@@ -44,7 +44,8 @@ def dup_groups_exact(s, d):
 
 @query("select hash_id, sha256(hash) as digest from hash_result where hash is not null")
 def file_hashes(s, d):
-    return table(s, d, "hash_result").filter("hash is not null").select("hash_id", F.sha2("hash", 256).alias("digest"))
+    rows = table(s, d, "hash_result").filter("hash is not null")
+    return rows.select("hash_id", F.lower(F.hex(hashing.file_sha256(F.col("hash")))).alias("digest"))
 
 
 # statistics --------------------------------------------------------------------------------------------------------
@@ -66,9 +67,10 @@ def sql_like_ci(s, d):
     return stats.sqlite_sql(table(s, d, "part"), "select p_partkey, p_name from df where p_name like '%RING%'")
 
 
-@query("""select l_orderkey, max(case when l_linenumber = 1 then l_quantity end) as "1",
-    max(case when l_linenumber = 2 then l_quantity end) as "2", max(case when l_linenumber = 3 then l_quantity end) as "3"
-    from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity from lineitem group by all) group by 1""")
+_LINES = ", ".join(f'max(case when l_linenumber = {i} then l_quantity end) as "{i}"' for i in range(1, 8))
+
+
+@query(f"select l_orderkey, {_LINES} from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity from lineitem group by all) group by 1")
 def pivot_wide(s, d):
     long = table(s, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("n")).agg(F.max("l_quantity").alias("q"))
     return stats.pivot_first(long, "l_orderkey", "n", "q", stats.pivot_labels(long, "n"))
@@ -121,16 +123,26 @@ _VEC = "(select vec_id, [x::double for x in embedding] as v, label from embeddin
 _L2SQ = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
-@query(f"with e as {_VEC} select a.vec_id as a, b.vec_id as b, round({_L2SQ}, 6) as dist from e a join e b on a.vec_id < b.vec_id where {_L2SQ} <= 1.2")
+_CLASSES = f"with e as {_VEC}, c as (select min(vec_id) as k, v, count(*) as n from e group by v)"
+
+
+@query(f"{_CLASSES} select a.k as a, b.k as b, round({_L2SQ}, 6) as dist from c a join c b on a.k < b.k where {_L2SQ} <= 1.2")
 def pairs_l2sq(s, d):
+    """Pairs between the classes of equal vectors."""
     return simjoin.l2_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 1.2, squared=True).withColumn("dist", F.round("dist", 6))
 
 
+@query("select min(vec_id) over (partition by embedding) as class, vec_id from embeddings")
+def vector_members(s, d):
+    return simjoin.vector_classes(table(s, d, "embeddings"), "vec_id", "embedding")
+
+
 @query(f"""with e as {_VEC}, p as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id where sqrt({_L2SQ}) <= 1.1)
     select vec_id, (select count(*) from p where p.a = e.vec_id) as links from e""")
 def links_l2(s, d):
     emb = table(s, d, "embeddings")
-    return simjoin.link_counts(emb, simjoin.l2_pairs(emb, "vec_id", "embedding", 1.1), "vec_id")
+    pairs, classes = simjoin.l2_pairs(emb, "vec_id", "embedding", 1.1), simjoin.vector_classes(emb, "vec_id", "embedding")
+    return simjoin.link_counts(emb, pairs, "vec_id", classes)
 
 
 def _hashes(s, d):
@@ -182,11 +194,16 @@ def label_match(s, d):
 
 # graph -------------------------------------------------------------------------------------------------------------
 
-_EDGES = f"with recursive e as {_VEC}, p as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id < b.vec_id where {_L2SQ} <= 1.3)"
+_EDGES = f"""with recursive e as {_VEC}, c as (select min(vec_id) as vec_id, v from e group by v),
+    p as (select a.vec_id as a, b.vec_id as b from c a join c b on a.vec_id < b.vec_id where {_L2SQ} <= 1.3
+        union all select k.vec_id, e.vec_id from c k join e using (v) where k.vec_id < e.vec_id)"""
 
 
 def _edges(s, d):
-    return simjoin.l2_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 1.3, squared=True).select("a", "b")
+    """Pairs between classes of equal vectors, and from each class to its members."""
+    emb = table(s, d, "embeddings")
+    pairs = simjoin.l2_pairs(emb, "vec_id", "embedding", 1.3, squared=True).select("a", "b")
+    return pairs.union(simjoin.vector_classes(emb, "vec_id", "embedding").filter("class < vec_id"))
 
 
 @query(f"""{_EDGES}, u as (select a as x, b as y from p union all select b, a from p),
@@ -211,12 +228,6 @@ def overlap_groups(s, d):
 # caches ------------------------------------------------------------------------------------------------------------
 
 
-@query("select distinct path from meta_stats m where not exists (select 1 from hash_result h where h.path = m.path)")
-def anti_uncached(s, d):
-    paths = table(s, d, "meta_stats").select("path").distinct()
-    return readers.uncached(paths, table(s, d, "hash_result").filter("path is not null"), ["path"])
-
-
 @query("""with h as (select path, max_by(hash_id, added_at) as hash_id from (select path, hash_id, epoch_us(added_at)::hugeint * 1000000 + hash_id % 1000000 as added_at
     from hash_result where path is not null) group by path), m as (select distinct path from meta_stats)
     select path, coalesce(h.hash_id, -1) as hash_id from m left join h using (path)""")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mediaframe.session import path_exists
+
 
 def write_table(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV, Parquet or JSON lines by the suffix; maps become JSON text in CSV.  ``read_table`` reads all three."""
@@ -56,3 +61,55 @@ def duplicate_report(groups: DataFrame, meta: DataFrame, columns: Sequence[str]
 def append_cache(df: DataFrame, path: str) -> None:
     """New rows of the cache; versions are told apart when it is read."""
     df.write.mode("append").parquet(path)
+
+
+def write_overlap(df: DataFrame, groups_path: str) -> None:
+    """The bad groups next to the file of groups, as ``….bad.csv``."""
+    write_table(df, groups_path.removesuffix(".csv") + ".bad.csv")
+
+
+def write_store(df: DataFrame, path: str) -> None:
+    """Replace a table as a whole: it is written beside the old one, which goes only when the new one is complete."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    where = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new")]
+    fs = where[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(where[0]):
+        fs.delete(where[0], True)
+    if not fs.rename(where[1], where[0]):
+        raise OSError(f"cannot put {path} into place")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_store``; a new one that was not put into place yet counts if the old one is gone."""
+    return spark.read.parquet(path if path_exists(spark, path) else f"{path}.new")
+
+
+def print_table(df: DataFrame, rows: int = 1000) -> None:
+    """The first rows on standard output, as tab-separated lines under a header; the number of rows is a display limit."""
+    print("\t".join(df.columns))
+    for r in df.limit(rows).collect():
+        print("\t".join("" if x is None else str(x) for x in r))
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """(name, length): write (name, content) rows as files of a folder, each task its own rows.
+
+    A file is written under another name first and put into place complete, so a task that runs again only repeats it.
+    Rows without a name or content are left out; a name with a slash is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for name, content in zip(b.name, b.content):
+                if "/" in name or name in ("", ".", ".."):
+                    raise ValueError(f"{name} is no name of a file")
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(content)
+                fs.move(part, f"{root}/{name}")
+            yield pd.DataFrame({"name": b.name, "length": b.content.map(len)})
+
+    rows = df.select("name", "content").filter("name is not null and content is not null")
+    return rows.mapInPandas(run, "name string, length bigint")
