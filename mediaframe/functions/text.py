@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Java class of what counts as outer dirt of a value: Unicode white space and NUL.
@@ -29,6 +29,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def once(df: DataFrame, keep: Sequence[str | Column], **columns: Column) -> DataFrame:
+    """``keep`` and the named columns, each evaluated once: a filter on them stays behind them instead of repeating them."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = df.select(*keep, F.explode(F.array(made)).alias("_once"))
+    return kept.select(*[f"`{c}`" for c in kept.columns[:-1]], "_once.*")
+
+
 def outer_trim(c: Column) -> Column:
     """Without outer white space and NULs; null stays null."""
     return F.regexp_replace(c, _TRIM, "")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions import shapes
-from mediaframe.functions.text import label_key
+from mediaframe.functions.text import label_key, once
 from mediaframe.functions.zones import ZoneTable, zone_tables
 
 MAX_ZONES = 1000
@@ -24,12 +24,9 @@ def one_row_per_entity(
 
     An entity never has two different values of a label; should it, the greatest is taken, so a blank one loses."""
     keys = {"".join(name.lower().split()): out for out, name in wanted.items()}
-    base = rows.select(
-        F.col(entity).alias("entity"),
-        F.col(device).alias("device"),
-        label_key(F.col(label)).alias("k"),
-        F.col(value).alias("v"),
-    ).filter(F.col("k").isin(*keys) & F.col("v").isNotNull() & F.col("entity").isNotNull())
+    kept = [F.col(entity).alias("entity"), F.col(device).alias("device"), F.col(value).alias("v")]
+    base = once(rows.filter(F.col(value).isNotNull() & F.col(entity).isNotNull()), kept, k=label_key(F.col(label)))
+    base = base.filter(F.col("k").isin(*keys))
     picks = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(out) for k, out in keys.items()]
     return base.groupBy("entity").agg(F.max("device").alias("device"), *picks)
 

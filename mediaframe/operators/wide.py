@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from mediaframe.functions.dates import moment_text
 from mediaframe.functions.numbers import whole_number
-from mediaframe.functions.text import label_key, outer_trim
+from mediaframe.functions.text import label_key, once, outer_trim
 
 #: Value types of an attribute and the type of its column.
 COLUMN_TYPES = {
@@ -59,11 +59,9 @@ def cell_states(
     keys = [(i, "".join(name.lower().split()), kind) for i, (name, kind) in enumerate(labels)]
     index = F.create_map(*[F.lit(x) for i, key, _ in keys for x in (key, i)]) if keys else F.lit(None)
     kinds = F.array(*[F.lit(kind) for _, _, kind in keys]) if keys else F.array(F.lit(""))
-    base = rows.select(
-        F.col(entity).cast("string").alias("entity"),
-        F.element_at(index, label_key(F.col(label))).alias("attr") if keys else F.lit(None).cast("int").alias("attr"),
-        outer_trim(F.col(value)).alias("v"),
-    ).filter("entity is not null and attr is not null and v <> ''")
+    attr = F.element_at(index, label_key(F.col(label))) if keys else F.lit(None).cast("int")
+    base = once(rows, [F.col(entity).cast("string").alias("entity")], attr=attr, v=outer_trim(F.col(value)))
+    base = base.filter("entity is not null and attr is not null and v <> ''")
     read = base.select("entity", "attr", _canonical(F.col("v"), kinds[F.col("attr")]).alias("lo"))
     return read.selectExpr("entity", "attr", "lo", "lo as hi", "lo is null as bad").mapInArrow(_combine_batches, _STATE)
 
