@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.functions.text import label_key, outer_trim
+from mediaframe.functions.text import label_key, once, outer_trim
 from mediaframe.session import stage
 
 RARE_RECORDS = 2
@@ -25,11 +25,9 @@ def occurrences(rows: DataFrame, labels: Sequence[str], record: str, label: str,
     kind ``value`` is the whole value, ``term`` each run of letters and digits, ``all`` stands for the label itself."""
     names = {"".join(x.lower().split()): x for x in labels}
     shown = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    base = rows.select(
-        F.element_at(shown, label_key(F.col(label))).alias("key_label"),
-        F.col(record).cast("string").alias("record"),
-        F.lower(outer_trim(F.col(value))).alias("v"),
-    ).filter("key_label is not null and record is not null and v <> ''")
+    kept = [F.col(record).cast("string").alias("record"), F.col(value).alias("value")]
+    base = once(rows.filter(F.col(record).isNotNull()), kept, key_label=F.element_at(shown, label_key(F.col(label))))
+    base = once(base.filter("key_label is not null"), ["record", "key_label"], v=F.lower(outer_trim(F.col("value")))).filter("v <> ''")
     item = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("item"))
     terms = F.transform(F.regexp_extract_all("v", F.lit(TERM), 0), lambda t: item("term", t))
     every = F.concat(F.array(item("all", F.lit("")), item("value", F.col("v"))), terms)
