@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mediaframe.session import stage, unstage
@@ -22,17 +22,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = live.union(live.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stage(large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "star")
+        large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        after = stage(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "star")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        unstage(large)
+        seen = Observation()
+        mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        after = moved.union(small.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count(F.lit(1)).alias("n"), mark.alias("mark"))
+        after = stage(after, "star")
         unstage(live)
         live = after
-        if state == before:
+        if seen.get == before:
             break
-        before = state
+        before = seen.get
     roots = live.select(F.col("v").alias("component"), F.col("u").alias("member"))
     nodes = pairs.select(F.col("u").alias("member")).union(pairs.select("v")).distinct()
     return nodes.join(roots, "member", "left").select(F.coalesce("component", "member").alias("component"), "member")

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from mediaframe.operators.ordering import number_groups, rank_within, with_neighbours
 
 
-def equivalence_groups(df: DataFrame, key: Column, member: str) -> DataFrame:
-    """(group_key, member) of keys with more than one distinct member; null keys form no group.
+def equivalence_groups(df: DataFrame, key: Column, member: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(group_key, member, carried columns) of keys with more than one distinct member; null keys form no group.
 
-    Sizes are pre-aggregated and joined back, so no list of members is built."""
-    pairs = df.select(key.alias("group_key"), F.col(member)).filter("group_key is not null").distinct()
+    Members come once, with the carried values of one of their rows.  Sizes are pre-aggregated and joined back, so no
+    list of members is built."""
+    pairs = df.select(key.alias("group_key"), F.col(member), *carry).filter("group_key is not null")
+    pairs = pairs.groupBy("group_key", member).agg(*[F.max(c).alias(c) for c in carry]) if carry else pairs.distinct()
     sizes = pairs.groupBy("group_key").agg(F.count(member).alias("n")).filter("n > 1").select("group_key")
     return pairs.join(sizes, "group_key")
 
 
 def numbered_groups(groups: DataFrame, member: str, start: int = 1) -> DataFrame:
-    """(group, member): groups numbered by their smallest member."""
+    """``groups`` with ``group`` for the key: groups numbered by their smallest member."""
     least = groups.groupBy("group_key").agg(F.min(member).alias("least"))
     numbers = number_groups(least, "group_key", [F.col("least")], start, "group")
-    return groups.join(numbers.select("group_key", "group"), "group_key").select("group", member)
+    return groups.join(numbers.select("group_key", "group"), "group_key").select("group", *[c for c in groups.columns if c != "group_key"])
 
 
 def priorities(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:

@@ -57,6 +57,16 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
     return spread if ranked is None else ranked.union(spread)
 
 
+def _offsets(placed: DataFrame, total: Column) -> list:
+    """What the partitions before each one add up to; the driver gets one number per partition."""
+    sums = {r.p: r.t or 0 for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(total.alias("t")).collect()}
+    out, so_far = [], 0
+    for i in range(max(sums, default=-1) + 1):
+        out.append(so_far)
+        so_far += sums.get(i, 0)
+    return out or [0]
+
+
 def _rank_spread(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``rank_within`` for groups of any size."""
     keys = [F.col(c) for c in group]
@@ -64,9 +74,13 @@ def _rank_spread(df: DataFrame, group: Sequence[str], order: Sequence[Column], n
     placed = df.repartitionByRange(_partitions(df), *sort).sortWithinPartitions(*sort)
     placed = stage(placed.withColumn("_at", F.monotonically_increasing_id()), "ranked")
     p, at = F.shiftright("_at", 33).alias("_p"), F.col("_at").bitwiseAND(F.lit(_PLACE))
+    if not group:
+        before = _offsets(placed, F.count("*"))
+        rank = at + F.get(F.array(*[F.lit(x).cast("bigint") for x in before]), F.shiftright("_at", 33).cast("int"))
+        return placed.select(*df.columns, rank.cast("bigint").alias(name))
     parts = placed.groupBy(*group, p).agg(F.min(at).alias("_lo"), F.count("*").alias("_n"))
     # one row per group and partition, so the window sees at most as many rows of a group as there are partitions
-    over = f"over (partition by {', '.join(f'`{g}`' for g in group) or '1'} order by _p rows between unbounded preceding and 1 preceding)"
+    over = f"over (partition by {', '.join(f'`{g}`' for g in group)} order by _p rows between unbounded preceding and 1 preceding)"
     parts = parts.withColumn("_before", F.expr(f"coalesce(sum(_n) {over}, 0)")).drop("_n")
     left, right = placed.withColumn("_p", p).alias("l"), parts.alias("r")
     same = F.col("l._p") == F.col("r._p")
@@ -86,17 +100,14 @@ def running_sum(df: DataFrame, value: str, order: Sequence[Column], name: str =
     """``df`` with the sum of ``value`` over all rows before, 0 for the first; partition totals are added up first."""
     placed = df.repartitionByRange(_partitions(df), *order).sortWithinPartitions(*order)
     placed = stage(placed.withColumn("_at", F.monotonically_increasing_id()), "running")
+    kind = placed.agg(F.sum(value)).schema[0].dataType
+    before = F.array(*[F.lit(x).cast(kind) for x in _offsets(placed, F.sum(value))])
     p = F.shiftright("_at", 33)
-    totals = placed.groupBy(p.alias("_p")).agg(F.sum(value).alias("_t"))
-    totals = totals.withColumn(
-        "_before", F.expr("coalesce(sum(_t) over (order by _p rows between unbounded preceding and 1 preceding), 0)")
-    ).drop("_t")  # as many rows as partitions
     inside = F.expr(f"coalesce(sum(`{value}`) over (partition by _p order by _at rows between unbounded preceding and 1 preceding), 0)")
     return (
-        placed.withColumn("_p", p)
+        placed.withColumn("_p", p.cast("int"))
         .withColumn("_in", inside)
-        .join(F.broadcast(totals), "_p")
-        .select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
+        .select(*df.columns, (F.col("_in") + F.get(before, F.col("_p"))).alias(name))
     )
 
 

@@ -36,8 +36,8 @@ def query(sql: str | None = None):
       row_number() over (partition by h order by n_chars desc nulls last, doc_id) - 1 as priority from h join g using (h)""")
 def dup_groups_exact(s, d):
     docs = table(s, d, "documents").filter("text is not null").select(F.sha2("text", 256).alias("h"), "doc_id", "n_chars")
-    members = groups.equivalence_groups(docs, F.col("h"), "doc_id")
-    numbered = groups.numbered_groups(members, "doc_id").join(docs, "doc_id")
+    members = groups.equivalence_groups(docs, F.col("h"), "doc_id", ["n_chars"])
+    numbered = groups.numbered_groups(members, "doc_id")
     ranked = groups.priorities(numbered, "group", [F.col("n_chars").desc_nulls_last(), F.col("doc_id")])
     return ranked.select(F.col("group").alias("group_no"), "doc_id", "n_chars", F.col("priority").cast("bigint").alias("priority"))
 

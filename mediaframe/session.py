@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_root: dict[int, str] = {}
 _staged: set[tuple[str, str]] = set()
@@ -68,6 +69,13 @@ def stage(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     return out
 
 
+def stage_counted(df: DataFrame, condition: Column, name: str = "t") -> tuple[DataFrame, int]:
+    """``stage`` and the number of rows with a condition, counted while they are written."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def unstage(df: DataFrame | None) -> None:
     """Remove the files of a staged table that nothing reads any more."""
     path = getattr(df, "_staged_at", None)
