@@ -7,11 +7,11 @@ a table in the shared folder.  A vertex that holds a third of all edges costs on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions.paths import shortest_path
-from mediaframe.session import stage, unstage
+from mediaframe.session import stage, stage_counted, unstage
 
 #: Pointer jumps between two looks at whether a label still moves.
 JUMPS = 2
@@ -33,29 +33,29 @@ def _roots(parent: DataFrame) -> DataFrame:
         nxt = current
         for _ in range(JUMPS):
             up = nxt.select(F.col("v").alias("w"), F.col("p").alias("pp"))
-            nxt = nxt.join(up, F.col("p") == F.col("w"), "left").select("v", F.coalesce("pp", "p").alias("p"))
-        nxt = stage(nxt, "jump")
-        up = nxt.select(F.col("v").alias("w"))
-        moving = not nxt.join(up, F.col("p") == F.col("w"), "left_semi").isEmpty()
+            nxt = nxt.select("v", "p").join(up, F.col("p") == F.col("w"), "left")
+            nxt = nxt.select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))
+        nxt, moving = stage_counted(nxt, F.col("moved"), "jump")
         if current is not parent:
             unstage(current)
         current = nxt
         if not moving:
-            return current
+            return current.select("v", "p")
 
 
 def minimum_labels(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges (a bigint, b bigint)`` that is not the smallest of its component.
 
     The graph shrinks by a constant factor each round, chains included, so there are logarithmically many rounds."""
-    live = stage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    every = F.lit(True)
+    live = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    live, n = stage_counted(live, every, "edges")
     labels: DataFrame | None = None
-    while not live.isEmpty():
+    while n:
         ends = live.select(F.col("a").alias("v"), F.col("b").alias("u")).union(live.select("b", "a"))
         low = ends.groupBy("v").agg(F.min("u").alias("p")).filter("p < v")
         parent = stage(low, "parent")
         root = _roots(parent)
-        unstage(parent)
         ra = root.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         rb = root.select(F.col("v").alias("b"), F.col("p").alias("rb"))
         moved = (
@@ -66,7 +66,7 @@ def minimum_labels(edges: DataFrame) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        after = stage(moved, "edges")
+        after, n = stage_counted(moved, every, "edges")
         fresh = root.select("v", F.col("p").alias("root"))
         if labels is None:
             merged = stage(fresh, "labels")
@@ -74,16 +74,17 @@ def minimum_labels(edges: DataFrame) -> DataFrame:
             up = root.select(F.col("v").alias("w"), "p")
             kept = labels.join(up, F.col("root") == F.col("w"), "left").select("v", F.coalesce("p", "root").alias("root"))
             merged = stage(kept.union(fresh), "labels")
-        for old in (live, labels, root):
+        for old in (live, labels, parent):
             unstage(old)
         live, labels = after, merged
     unstage(live)
     return labels if labels is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root")).limit(0)
 
 
-def consolidate(pairs: DataFrame, a: str = "path_a", b: str = "path_b", normalise: Column | None = None) -> DataFrame:
-    """(root_path, path): every linked path but the root with the root of its group, the smallest path of it.
+def consolidate(pairs: DataFrame, a: str = "path_a", b: str = "path_b", with_roots: bool = False) -> DataFrame:
+    """(root_path, path): every linked path with the root of its group, the smallest path of it.
 
+    The root itself has a row only ``with_roots``.
     Paths are compared and reported in their shortest spelling, by code points.  Pairs with a null or empty end and
     pairs of a path with itself link nothing; repeated and mirrored pairs count once; other columns are not read;
     an empty input gives an empty result."""
@@ -99,14 +100,13 @@ def consolidate(pairs: DataFrame, a: str = "path_a", b: str = "path_b", normalis
     iy = ids.select(F.col("name").alias("y"), F.col("id").alias("b"))
     edges = links.join(ix, "x").join(iy, "y").select("a", "b")
     labels = minimum_labels(edges)
+    if with_roots:
+        labels = labels.union(labels.select("root", "root").distinct())
     root = ids.select(F.col("id").alias("root"), F.col("name").alias("root_path"))
     path = ids.select(F.col("id").alias("v"), F.col("name").alias("path"))
     return labels.join(path, "v").join(root, "root").select("root_path", "path")
 
 
-def group_table(found: DataFrame) -> DataFrame:
+def group_table(pairs: DataFrame, a: str = "path_a", b: str = "path_b") -> DataFrame:
     """(group, path) over all members, the root included; the group is named by its root path."""
-    roots = found.select("root_path").distinct()
-    return found.select(F.col("root_path").alias("group"), "path").union(
-        roots.select(F.col("root_path").alias("group"), F.col("root_path").alias("path"))
-    )
+    return consolidate(pairs, a, b, with_roots=True).withColumnRenamed("root_path", "group")

@@ -50,7 +50,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
-    return group_table(consolidate(table(spark, d, "match_pairs")))
+    return group_table(table(spark, d, "match_pairs"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
