@@ -141,7 +141,9 @@ def crop_box(t: Column, r: Column, b: Column, l: Column, context: int, height: C
 
 
 def half_crop(target: str, width: Column, height: Column) -> Column:
-    """(x, y, w, h) of what stays when one half of an image is cut off; an inner edge lies at a multiple of 16."""
+    """(x, y, w, h) of what stays when one half of an image is cut off; an inner edge lies at a multiple of 16.
+
+    The edges are fixed values: lossless cuts of JPEG files lie at blocks of 16 pixels."""
     zero, half_w, half_h = F.lit(0), F.floor(width / 2), F.floor(height / 2)
     x, y = half_w - half_w % 16, half_h - half_h % 16
     kept = {

@@ -172,3 +172,12 @@ def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
 def rank_rows(df: DataFrame, columns: Sequence[str], name: str = "rank") -> DataFrame:
     """Rows in lexicographic order of the columns, the first one dominant, nulls last; the rest of ties by nothing."""
     return rank_within(df, [], [F.col(c).asc_nulls_last() for c in columns], name)
+
+
+def at_positions(pairs: DataFrame, rows: DataFrame, column: str, pos: str = "pos", ends: Sequence[str] = ("a", "b")) -> DataFrame:
+    """Pairs of positions as pairs of what stands there, by one equality join per end; positions without a row drop out."""
+    out = pairs
+    for e in ends:
+        there = rows.select(F.col(pos).alias("_pos"), F.col(column).alias("_value"))
+        out = out.join(there, F.col(e) == F.col("_pos")).drop("_pos").withColumn(e, F.col("_value")).drop("_value")
+    return out

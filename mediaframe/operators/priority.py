@@ -20,7 +20,8 @@ def _value(c: Column) -> Column:
     return c
 
 
-#: (type, name) of a ranking function, its builder and its number of arguments.
+#: (type, name) of a ranking function, its builder and its number of arguments.  The names are fixed values: commands that
+#: users have stored name them.
 FUNCTIONS: dict[tuple[type, str], tuple] = {
     (T.StringType, "Available"): (lambda c: F.length(c) > 0, 0),
     (T.StringType, "Alphabetical"): (_value, 0),

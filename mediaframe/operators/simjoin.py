@@ -500,6 +500,37 @@ def label_match(
     return keys.join(lists, "k", "left").select(F.col("k").alias(key), F.coalesce("sure", none).alias("sure"), F.coalesce("suggested", none).alias("suggested"))
 
 
+class FlatIndex:
+    """Vectors (or packed hashes) of one length in a table that grows by batches and is searched as a whole, exactly."""
+
+    #: Element types by metric.
+    KINDS = {"l2-squared": ("array<float>", "array<double>"), "hamming": ("array<bigint>",)}
+
+    def __init__(self, spark: SparkSession, path: str, metric: str):
+        if metric not in self.KINDS:
+            raise ValueError(f"unknown metric {metric}")
+        self.spark, self.path, self.metric = spark, path, metric
+
+    def add(self, batch: DataFrame, key: str, vector: str) -> None:
+        """Append a batch; a wrong element type or length is an error, and then nothing of the batch is added."""
+        if dict(batch.dtypes)[vector] not in self.KINDS[self.metric]:
+            raise TypeError(f"{self.metric} takes {self.KINDS[self.metric]}")
+        rows = batch.select(F.col(key).alias("k"), F.col(vector).cast(self.KINDS[self.metric][-1]).alias("v")).filter("k is not null and size(v) > 0")
+        sizes = [d.agg(F.min(F.size("v")), F.max(F.size("v"))).first() for d in (rows, *([self.table()] if path_exists(self.spark, self.path) else []))]
+        if len({x for r in sizes for x in r if x is not None}) > 1:
+            raise ValueError("vectors of different lengths")
+        rows.write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def search(self, queries: DataFrame, key: str, vector: str, k: int, include_self: bool = True) -> DataFrame:
+        """(query, rank, neighbour, dist) of the k nearest rows of the index; a query may be one of them."""
+        ask = queries.select(F.col(key).alias("k"), F.col(vector).cast(self.KINDS[self.metric][-1]).alias("v"))
+        find = nearest if self.metric == "l2-squared" else nearest_hamming
+        return find(self.table(), ask, "k", "v", k, include_self)
+
+
 class LabelStore:
     """Labelled vectors that grow while batches are matched against them, as a table that is appended to.
 

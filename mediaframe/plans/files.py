@@ -529,6 +529,57 @@ def label_store(s, d):
     return store.match(emb, 1.2, 1.2).select("vec_id", F.array_join("sure", ",").alias("sure"))
 
 
+@query("""with e as (select vec_id, [x::double for x in embedding] as v from embeddings),
+    r as (select a.vec_id as query, b.vec_id as neighbour, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as dist from e a join e b on true where a.vec_id % 50 = 0)
+    select query, row_number() over (partition by query order by dist, neighbour) as rank, neighbour from r qualify rank <= 6""")
+def flat_index(s, d):
+    """An index that is built of two batches, searched with the stated query set."""
+    emb = table(s, d, "embeddings")
+    index = simjoin.FlatIndex(s, staged_path(s, "flat"), "l2-squared")
+    first = F.xxhash64("vec_id") > 0
+    for batch in (emb.filter(first), emb.filter(~first)):
+        index.add(batch, "vec_id", "embedding")
+    got = index.search(emb.filter("vec_id % 50 = 0"), "vec_id", "embedding", 6)
+    return got.select("query", F.col("rank").cast("bigint").alias("rank"), "neighbour")
+
+
+@query("""with r as (select p_partkey, p_name, row_number() over (order by p_partkey) - 1 as pos from part)
+    select a.p_name as a, b.p_name as b from r x join r a on a.pos = x.pos join r b on b.pos = (x.pos * 7 + 3) % (select count(*) from r)""")
+def index_to_name(s, d):
+    """Pairs of positions become pairs of names."""
+    rows = ordering.rank_within(table(s, d, "part").select("p_partkey", "p_name"), [], [F.col("p_partkey")], "pos")
+    n = rows.count()
+    pairs = rows.select(F.col("pos").alias("a"), ((F.col("pos") * 7 + 3) % n).alias("b"))
+    return ordering.at_positions(pairs, rows, "p_name")
+
+
+@query("select p_partkey, row_number() over (order by p_partkey) - 1 as rank from part")
+def by_position(s, d):
+    """The order of the rows in the file, which is that of the keys."""
+    rows = ordering.with_position(table(s, d, "part").select("p_partkey"))
+    return ordering.rank_within(rows, [], [F.col("pos")]).select("p_partkey", "rank")
+
+
+@query("select p_brand, avg(p_size) as size, count(*) as n from part group by 1")
+def sql_free(s, d):
+    return stats.sql(table(s, d, "part"), "select p_brand, avg(p_size) as size, count(*) as n from df group by p_brand")
+
+
+@query(f"""with p as (select vec_id, unnest(g) as x from {_GREY}), c as (select vec_id, x, count(*) over (partition by vec_id order by x) as upto from p),
+    m as (select vec_id, x, upto, min(upto) over (partition by vec_id) as low from c)
+    select vec_id, sum(round_even((upto - low) / greatest(1, 64 - low) * 255, 0))::bigint as total from m group by 1""")
+def image_equalise(s, d):
+    rows = features.picture_vectors(_grids(s, d), lambda x: [int(features.equalised(x).sum())])
+    return rows.select(F.col("origin").cast("bigint").alias("vec_id"), F.col("vector")[0].cast("bigint").alias("total"))
+
+
+@query(f"select vec_id, list_sum(g)::bigint as total, list_min(g)::bigint as darkest from {_GREY}")
+def image_grey(s, d):
+    """A chain of view filters on a picture that is grey already changes nothing."""
+    rows = features.picture_vectors(_grids(s, d), lambda x: [int(features.grey(x).sum()), int(features.grey(x).min())])
+    return rows.select(F.col("origin").cast("bigint").alias("vec_id"), F.col("vector")[0].cast("bigint").alias("total"), F.col("vector")[1].cast("bigint").alias("darkest"))
+
+
 @query("select 1000 as n, 6 as size, true as inside")
 def random_rows(s, d):
     m = readers.random_matrix(s, 1000, 6, seed=3)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaframe.functions import scalars, text
-from mediaframe.operators import features, geo, groups, rename, simjoin, stats
+from mediaframe.operators import features, geo, groups, hashing, rename, simjoin, stats
 from mediaframe.sources import image_meta, readers, sinks
 
 IPTC = b"\x1c\x02\x05\x00\x03sea"
@@ -212,3 +212,26 @@ def test_sets_and_unions(spark, rows):
     with pytest.raises(ValueError):
         simjoin.shared_array(spark, np.zeros(100), 10)
     assert simjoin.shared_array(spark, np.zeros(100)).value.shape == (100,)
+
+
+def test_flat_index(spark, tmp_path, rows):
+    index = simjoin.FlatIndex(spark, str(tmp_path / "flat"), "hamming")
+    index.add(spark.createDataFrame([(1, [0]), (2, [7])], "id bigint, w array<bigint>"), "id", "w")
+    index.add(spark.createDataFrame([(3, [1]), (4, None)], "id bigint, w array<bigint>"), "id", "w")
+    assert rows(index.search(spark.createDataFrame([(9, [0])], "id bigint, w array<bigint>"), "id", "w", 2)) == [(9, 1, 1, 0), (9, 2, 3, 1)]
+    with pytest.raises(ValueError):
+        index.add(spark.createDataFrame([(5, [0, 1])], "id bigint, w array<bigint>"), "id", "w")
+    with pytest.raises(TypeError):
+        index.add(spark.createDataFrame([(5, [0.5])], "id bigint, w array<double>"), "id", "w")
+    with pytest.raises(ValueError):
+        simjoin.FlatIndex(spark, "x", "cosine")
+    assert index.table().count() == 3
+
+
+def test_own_provider_and_bad_pictures(spark):
+    hashing.register_provider("mean", lambda x: float(x.mean()), "double")
+    df = images(spark, 2, 4).union(spark.createDataFrame([("bad", 4, 4, 1, b"short")], "origin string, height int, width int, nChannels int, data binary"))
+    good, bad = hashing.quarantine(hashing.image_values(df, "mean"))
+    assert good.count() == 2 and [(r.origin, r.value) for r in bad.collect()] == [("bad", None)]
+    with pytest.raises(ValueError):
+        stats.equals_text(df, "absent", "x")
