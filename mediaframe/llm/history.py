@@ -3,8 +3,8 @@
 A 256-bit hash is a set of 12 tokens: its segments, three per 64-bit word (22, 21 and 21 bits), each with its place.
 Two hashes within 10 bits differ in at most 10 segments, so they share at least 2 of 12 tokens.  All hashes of an index
 order their tokens in one way, rare before frequent, so the 11 rarest tokens of both hold a shared one: these prefixes
-are all that is stored and all that is looked up.  A token that is frequent in itself is not looked up alone but
-together with each other token of the hash (the second shared one is among them), which splits its posting list.
+are all that is stored and all that is looked up.  Tokens that are frequent in themselves are not looked up alone but in
+pairs with each other, which splits their posting lists: two hashes that share no rarer token share two of these.
 
 The index is a folder: the order of the tokens, fixed when it is founded, and one generation of postings per load, laid
 out in parts by key.  A load reads only the parts of its own keys, checks lengths (numbers of set bits differ by at
@@ -14,7 +14,10 @@ most 10) and distances, and appends the postings of the hashes it accepts.  Reje
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,8 @@ SEGMENTS = 12
 PREFIX = SEGMENTS - (SEGMENTS - MAX_DISTANCE) + 1
 #: Occurrences from which a token is looked up in pairs only.
 HOT_ROWS = 1000
+#: Waiting rows (of 48 bytes) from which on one task takes them one by one instead of another round.
+FEW_ROWS = 2000
 _WORDS = ["w0", "w1", "w2", "w3"]
 _ROW = ["id", *_WORDS, "ones"]
 _STEP = [T.StructField("step", T.StringType()), T.StructField("waits", T.BooleanType())]
@@ -80,18 +85,18 @@ def token_order(reps: DataFrame) -> DataFrame:
 def _with_keys(reps: DataFrame, order: DataFrame, hot_rows: int) -> DataFrame:
     """The representatives with the keys of their prefix.
 
-    The prefix leaves out the most frequent token.  A token below ``hot_rows`` is its own key, one above makes a key
-    with each of the other 11 tokens."""
+    The prefix leaves out the most frequent token.  Its tokens below ``hot_rows`` are keys, and so are all pairs of tokens
+    above.  A hash that has such hot tokens leaves out one of them, so a shared token below is in both prefixes, or, where
+    the other hash has none that are hot and leaves it out, a second shared one is."""
     found = reps.select("load", "id", F.explode("tokens").alias("token")).join(order, "token")
-    hot = F.collect_set(F.when(F.col("n") >= hot_rows, F.col("token")))  # at most 12
+    hot = F.sort_array(F.collect_set(F.when(F.col("n") >= hot_rows, F.col("token"))))  # at most 12
     found = found.groupBy("load", "id").agg(F.max(F.struct("n", "token")).alias("x"), hot.alias("hot"))
     found = found.select("load", "id", F.col("x.token").alias("drop"), "hot")
-    pair = lambda t, u: F.shiftleft(t + 1, 26).bitwiseOR(u)
-    pairs = lambda t: F.transform(F.array_remove("tokens", t), lambda u: pair(t, u))
-    keys = lambda t: F.when(F.array_contains("hot", t), pairs(t)).otherwise(F.array(t))
     rows = reps.join(found, ["load", "id"], "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
     prefix = F.array_remove("tokens", F.coalesce("drop", F.element_at("tokens", -1)))
-    return rows.select("load", "hash", *_ROW, F.flatten(F.transform(prefix, keys)).alias("keys"))
+    pair = lambda t, u: F.shiftleft(t + 1, 26).bitwiseOR(u)
+    pairs = F.flatten(F.transform("hot", lambda t: F.transform(F.filter("hot", lambda u: u > t), lambda u: pair(t, u))))
+    return rows.select("load", "hash", *_ROW, F.concat(F.array_except(prefix, "hot"), pairs).alias("keys"))
 
 
 class HashIndex:
@@ -100,8 +105,10 @@ class HashIndex:
     ``ingest`` takes one batch.  A batch that fails before the end of its append leaves the index as it was, since only
     finished generations are read.  ``parts`` is fixed when the folder is founded."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 16, hot_rows: int = HOT_ROWS):
-        self.spark = spark
+    def __init__(
+        self, spark: SparkSession, path: str | None = None, parts: int = 16, hot_rows: int = HOT_ROWS, few_rows: int = FEW_ROWS
+    ):
+        self.spark, self.few_rows = spark, few_rows
         self.path = path or staged_path(spark, "hash-index")
         self.parts, self.hot_rows = parts, hot_rows
         for name in self._folders():
@@ -176,7 +183,7 @@ class HashIndex:
             hits = near.groupBy("a.id").agg(F.min("b.id").alias("kept"))
             open_ = rows.join(hits.hint("merge"), "id", "left")
         columns = [*rows.columns, "kept"]
-        _first_come(open_.select(*columns, F.when(F.col("kept").isNotNull(), "old").alias("verdict")), rounds)
+        _first_come(open_.select(*columns, F.when(F.col("kept").isNotNull(), "old").alias("verdict")), rounds, self.few_rows)
         self.append(rounds.read(False, begin).filter("verdict = 'accepted'"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
@@ -235,15 +242,36 @@ class _Rounds:
         delete_path(self.spark, self.root)
 
 
-def _first_come(rows: DataFrame, rounds: _Rounds) -> None:
+def _one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, verdict) of some rows, the smallest id first: a row near an accepted one is rejected."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    rows = pd.concat(held).sort_values("id")
+    words = rows[_WORDS].to_numpy(np.int64)
+    kept, n, told = np.zeros_like(words), 0, []
+    for w in words:
+        near = n and (np.bitwise_count((kept[:n] ^ w).view(np.uint64)).sum(1) <= MAX_DISTANCE).any()
+        told.append("rejected" if near else "accepted")
+        if not near:
+            kept[n], n = w, n + 1
+    yield pd.DataFrame({"id": rows["id"].to_numpy(), "told": told})
+
+
+def _first_come(rows: DataFrame, rounds: _Rounds, few: int) -> None:
     """Give each row a verdict: ``accepted`` or ``rejected`` where the index did not decide.
 
     In each round every row looks only at the first row under each of its keys, so no list of candidates is ever
     spread out.  A row that is the first everywhere is accepted; rows near an accepted first row are rejected; the
-    others wait for the next round, which reads only what still waits.  The smallest waiting row is always decided."""
+    others wait for the next round, which reads only what still waits.  The smallest waiting row is always decided.
+    The last few rows are taken one after the other by one task."""
     now = rows
-    while rounds.add(now):
+    while n := rounds.add(now):
         undecided = rounds.read(True, rounds.steps - 1)
+        if n <= few:
+            last = undecided.select(*_ROW[:5]).coalesce(1).mapInPandas(_one_by_one, "id bigint, told string")
+            now = undecided.join(last.hint("merge"), "id", "left").withColumn("verdict", F.col("told")).select(rows.columns)
+            continue
         at = undecided.select(*_ROW, F.explode("keys").alias("key"))
         first = at.groupBy("key").agg(F.min(F.struct(*_ROW)).alias("f")).select("key", "f.*")
         seen = (

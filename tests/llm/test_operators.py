@@ -41,11 +41,11 @@ def history_rows(n=90, seed=0):
     return data
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 2])
-def test_history(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows, few_rows", [(1000, 2000), (1000, 0), (2, 0), (2, 5)])
+def test_history(spark, hot_rows, few_rows):
     data = history_rows()
     rows = spark.createDataFrame([(i, i // 20, h, "x") for i, h in data], "hash_id bigint, batch_no int, hash binary, id string")
-    assert {tuple(r) for r in dedup_batches(rows, index=HashIndex(spark, hot_rows=hot_rows)).collect()} == greedy(data)
+    assert {tuple(r) for r in dedup_batches(rows, index=HashIndex(spark, hot_rows=hot_rows, few_rows=few_rows)).collect()} == greedy(data)
     assert dedup_batches(rows.limit(0)).collect() == []
 
 
