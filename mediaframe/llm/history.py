@@ -178,8 +178,9 @@ class HashIndex:
         if held is None:
             open_ = rows.withColumn("kept", F.lit(None).cast("bigint"))
         else:
-            probe = rows.select(*_ROW, F.explode("keys").alias("key")).alias("a").hint("merge")
-            near = probe.join(held.alias("b"), F.col("a.key") == F.col("b.key")).filter(_near("a", "b"))
+            probe = rows.select(F.col("id").alias("probe"), F.explode("keys").alias("key")).hint("merge")
+            met = probe.join(held, "key").select("probe", *_ROW).alias("b")
+            near = rows.select(*_ROW).alias("a").join(met.hint("merge"), F.col("a.id") == F.col("b.probe")).filter(_near("a", "b"))
             hits = near.groupBy("a.id").agg(F.min("b.id").alias("kept"))
             open_ = rows.join(hits.hint("merge"), "id", "left")
         columns = [*rows.columns, "kept"]
@@ -206,11 +207,15 @@ class HashIndex:
 def _decisions(valid: DataFrame, states: DataFrame) -> DataFrame:
     """(kept_id, dup_id) from the verdicts: copies follow their hash, rejected hashes look up the smallest accepted
     one of their load near them, those rejected by an older load know theirs."""
-    at = states.select("load", *_ROW, "verdict", F.explode("keys").alias("key"))
-    a, b = at.filter("verdict = 'rejected'").alias("a").hint("merge"), at.filter("verdict = 'accepted'").alias("b")
-    same = (F.col("a.load") == F.col("b.load")) & (F.col("a.key") == F.col("b.key"))
-    inner = a.join(b, same).filter(_near("a", "b") & (F.col("b.id") < F.col("a.id")))
-    inner = inner.groupBy("a.load", "a.id").agg(F.min("b.id").alias("kept_here"))
+    at = states.select("load", "id", "verdict", F.explode("keys").alias("key"))
+    lost = at.filter("verdict = 'rejected'").select("load", "key", F.col("id").alias("lost")).hint("merge")
+    met = lost.join(at.filter("verdict = 'accepted'").select("load", "key", "id"), ["load", "key"]).filter("id < lost")
+    met = met.groupBy("load", "id", "lost").agg(F.lit(1)).alias("m")
+    words = states.select("load", *_ROW)
+    a, b = words.alias("a"), words.alias("b")
+    inner = met.join(a.hint("merge"), (F.col("m.load") == F.col("a.load")) & (F.col("m.lost") == F.col("a.id")))
+    inner = inner.join(b.hint("merge"), (F.col("m.load") == F.col("b.load")) & (F.col("m.id") == F.col("b.id"))).filter(_near("a", "b"))
+    inner = inner.groupBy(F.col("a.load"), F.col("a.id")).agg(F.min("b.id").alias("kept_here"))
     reps = states.select("load", "hash", "id", "kept").join(inner, ["load", "id"], "left")
     copies = valid.select("load", "hash", F.col("id").alias("dup_id"))
     out = copies.join(reps, ["load", "hash"]).select(F.coalesce("kept", "kept_here", "id").alias("kept_id"), "dup_id")
@@ -265,23 +270,27 @@ def _first_come(rows: DataFrame, rounds: _Rounds, few: int) -> None:
     spread out.  A row that is the first everywhere is accepted; rows near an accepted first row are rejected; the
     others wait for the next round, which reads only what still waits.  The smallest waiting row is always decided.
     The last few rows are taken one after the other by one task."""
-    now = rows
-    while n := rounds.add(now):
-        undecided = rounds.read(True, rounds.steps - 1)
+    now, spent = rows, None
+    while True:
+        n = rounds.add(now)
+        unstage(spent)
+        if not n:
+            return
+        undecided, spent = rounds.read(True, rounds.steps - 1), None
         if n <= few:
             last = undecided.select(*_ROW[:5]).coalesce(1).mapInPandas(_one_by_one, "id bigint, told string")
             now = undecided.join(last.hint("merge"), "id", "left").withColumn("verdict", F.col("told")).select(rows.columns)
             continue
-        at = undecided.select(*_ROW, F.explode("keys").alias("key"))
-        first = at.groupBy("key").agg(F.min(F.struct(*_ROW)).alias("f")).select("key", "f.*")
-        seen = (
-            at.alias("a")
-            .join(first.alias("b").hint("merge"), F.col("a.key") == F.col("b.key"))
-            .groupBy("a.id")
-            .agg((F.min("b.id") == F.col("a.id")).alias("first"), F.collect_set(F.when(_near("a", "b"), F.col("b.id"))).alias("near"))
-        )
-        heads = seen.filter("first").select(F.col("id").alias("head"))
-        gone = seen.filter("not first").select("id", F.explode("near").alias("head")).join(heads.hint("merge"), "head", "left_semi")
+        at = undecided.select("id", F.explode("keys").alias("key"))
+        first = at.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
+        behind = at.hint("merge").join(first, "key").filter("head < id").groupBy("id", "head").agg(F.lit(1)).select("id", "head")
+        behind = spent = stage(behind, "behind")  # of all keys only those that rows share; words follow for these only
+        heads = undecided.select(F.col("id").alias("head")).join(behind.select(F.col("id").alias("head")), "head", "left_anti")
+        words = undecided.select(*_ROW)
+        a, b = words.alias("a"), words.select(F.col("id").alias("head_id"), *_ROW).alias("b")
+        met = behind.join(heads.hint("merge"), "head", "left_semi").alias("m")
+        met = met.join(a.hint("merge"), F.col("m.id") == F.col("a.id")).join(b.hint("merge"), F.col("m.head") == F.col("b.head_id"))
+        gone = met.filter(_near("a", "b")).select(F.col("m.id").alias("id"))
         told = heads.select(F.col("head").alias("id"), F.lit("accepted").alias("told"))
         told = told.union(gone.select("id", F.lit("rejected"))).groupBy("id").agg(F.min("told").alias("told"))
         now = undecided.join(told.hint("merge"), "id", "left").withColumn("verdict", F.col("told")).drop("told")
