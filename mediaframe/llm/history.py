@@ -3,10 +3,12 @@
 A 256-bit hash is a set of 12 tokens: its segments, three per 64-bit word (22, 21 and 21 bits), each with its place.
 Two hashes within 10 bits differ in at most 10 segments, so they share at least 2 of 12 tokens.  All hashes of an index
 order their tokens in one way, rare before frequent, so the 11 rarest tokens of both hold a shared one: these prefixes
-are all that is stored and all that is looked up.  Tokens that are frequent in themselves are not looked up alone but in
-pairs with each other, which splits their posting lists: two hashes that share no rarer token share two of these.
+are all that is stored and all that is looked up.  Tokens that are frequent in themselves are not looked up: two hashes
+that share no rarer token share two frequent ones, and for hashes with at least two of them there is a finer set, 24 pieces
+of 10 or 11 bits, of which near hashes share at least 14, so the 12 rarest pieces of both hold two shared ones.  Pairs of
+these are their keys, so hashes that agree in half of their bits are told apart by the other half.
 
-The index is a folder: the order of the tokens, fixed when it is founded, and one generation of postings per load, laid
+The index is a folder: the orders of tokens and pieces, fixed when it is founded, and one generation of postings per load, laid
 out in parts by key.  A load reads only the parts of its own keys, checks lengths (numbers of set bits differ by at
 most 10) and distances, and appends the postings of the hashes it accepts.  Rejected rows never enter the index.
 """
@@ -28,8 +30,10 @@ BITS = 256
 MAX_DISTANCE = 10
 _WIDTHS = (22, 21, 21)
 SEGMENTS = 12
+PIECES, _PIECE_WIDTHS = 24, (11, 11, 11, 11, 10, 10)
+RARE_PIECES = PIECES - (PIECES - MAX_DISTANCE) + 2
 PREFIX = SEGMENTS - (SEGMENTS - MAX_DISTANCE) + 1
-#: Occurrences from which a token is looked up in pairs only.
+#: Occurrences from which a token is not looked up.
 HOT_ROWS = 1000
 #: Waiting rows (of 48 bytes) from which on one task takes them one by one instead of another round.
 FEW_ROWS = 2000
@@ -44,18 +48,28 @@ def words_of(hash_: Column) -> list[Column]:
     return [F.conv(F.hex(F.substring(hash_, 8 * i + 1, 8)), 16, -10).cast("bigint").alias(f"w{i}") for i in range(4)]
 
 
-def tokens_of() -> Column:
-    """The 12 tokens: place of the segment and its bits in one number."""
+def _cut(widths: tuple[int, ...], room: int) -> Column:
+    """The words cut into fields of the given widths: place of the field and its bits in one number."""
     out = []
     for i, w in enumerate(_WORDS):
         shift = 0
-        for j, width in enumerate(_WIDTHS):
+        for j, width in enumerate(widths):
             bits = F.shiftrightunsigned(F.col(w), shift).bitwiseAND(F.lit((1 << width) - 1))
-            out.append(bits + F.lit((3 * i + j) << 22))
+            out.append(bits + F.lit((len(widths) * i + j) << room))
             shift += width
     return F.array(*out)
 
 
+def tokens_of() -> Column:
+    """The 12 tokens of a hash."""
+    return _cut(_WIDTHS, 22)
+
+
+def pieces_of() -> Column:
+    """The 24 pieces of a hash; there are at most 24 times 2048 different ones."""
+    return _cut(_PIECE_WIDTHS, 11)
+
+
 def _distance(a: str, b: str) -> Column:
     d = lambda w: F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
     return d("w0") + d("w1") + d("w2") + d("w3")
@@ -82,20 +96,33 @@ def token_order(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def _with_keys(reps: DataFrame, order: DataFrame, hot_rows: int) -> DataFrame:
+def piece_order(reps: DataFrame) -> DataFrame:
+    """(piece, n) of the pieces that there are."""
+    return reps.select(F.explode(pieces_of()).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+def _with_keys(reps: DataFrame, order: DataFrame, pieces: DataFrame, hot_rows: int) -> DataFrame:
     """The representatives with the keys of their prefix.
 
-    The prefix leaves out the most frequent token.  Its tokens below ``hot_rows`` are keys, and so are all pairs of tokens
-    above.  A hash that has such hot tokens leaves out one of them, so a shared token below is in both prefixes, or, where
-    the other hash has none that are hot and leaves it out, a second shared one is."""
+    The prefix leaves out the most frequent token.  Its tokens below ``hot_rows`` are keys.  A hash that has tokens above
+    leaves out one of them, so a shared token below is in both prefixes, or, where the other hash has none above and
+    leaves it out, a second shared one is.  If all shared tokens are above, both hashes have two of them, and the pairs of
+    their rarest pieces are keys as well."""
     found = reps.select("load", "id", F.explode("tokens").alias("token")).join(order, "token")
-    hot = F.sort_array(F.collect_set(F.when(F.col("n") >= hot_rows, F.col("token"))))  # at most 12
+    hot = F.collect_set(F.when(F.col("n") >= hot_rows, F.col("token")))  # at most 12
     found = found.groupBy("load", "id").agg(F.max(F.struct("n", "token")).alias("x"), hot.alias("hot"))
     found = found.select("load", "id", F.col("x.token").alias("drop"), "hot")
-    rows = reps.join(found, ["load", "id"], "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    rows = reps.join(found, ["load", "id"], "left").withColumn("hot", F.coalesce("hot", none))
+    dense = rows.filter(F.size("hot") >= 2).select("load", "id", F.explode(pieces_of()).alias("piece"))
+    dense = dense.join(F.broadcast(pieces), "piece", "left")  # at most 24 times 2048 rows
+    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")))  # 24 elements
+    rare = F.sort_array(F.transform(F.slice(ranked, 1, RARE_PIECES), lambda x: x["piece"]))
+    dense = dense.groupBy("load", "id").agg(rare.alias("rare"))
+    rows = rows.join(dense, ["load", "id"], "left").withColumn("rare", F.coalesce("rare", none))
     prefix = F.array_remove("tokens", F.coalesce("drop", F.element_at("tokens", -1)))
-    pair = lambda t, u: F.shiftleft(t + 1, 26).bitwiseOR(u)
-    pairs = F.flatten(F.transform("hot", lambda t: F.transform(F.filter("hot", lambda u: u > t), lambda u: pair(t, u))))
+    pair = lambda p, q: F.lit(1 << 60).bitwiseOR(F.shiftleft(p, 20)).bitwiseOR(q)
+    pairs = F.flatten(F.transform("rare", lambda p: F.transform(F.filter("rare", lambda q: q > p), lambda q: pair(p, q))))
     return rows.select("load", "hash", *_ROW, F.concat(F.array_except(prefix, "hot"), pairs).alias("keys"))
 
 
@@ -140,11 +167,13 @@ class HashIndex:
 
         Later rows are ordered by the same counts: that keeps results exact and only affects the length of lists."""
         if self._order_path.rsplit("/", 1)[1] not in self._folders():
+            piece_order(reps).write.mode("overwrite").parquet(f"{self.path}/pieces")
             token_order(reps).write.mode("overwrite").parquet(self._order_path)
 
     def keyed(self, reps: DataFrame) -> DataFrame:
         order = self.spark.read.schema("token bigint, n bigint").parquet(self._order_path)
-        return _with_keys(reps, order, self.hot_rows)
+        pieces = self.spark.read.schema("piece bigint, n bigint").parquet(f"{self.path}/pieces")
+        return _with_keys(reps, order, pieces, self.hot_rows)
 
     def _part(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
