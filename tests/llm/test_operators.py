@@ -49,6 +49,20 @@ def test_history(spark, hot_rows, few_rows):
     assert dedup_batches(rows.limit(0)).collect() == []
 
 
+def test_history_of_hashes_that_agree_in_half_of_their_bits(spark):
+    rng = np.random.default_rng(7)
+    data = []
+    for i in range(150):
+        h = b"\0" * 16 + rng.bytes(16) if i % 4 else data[int(rng.integers(len(data)))][1] if data else rng.bytes(32)
+        bits = int.from_bytes(h)
+        for b in rng.integers(0, 256, int(rng.integers(0, 12)) if i % 4 == 0 else 0):
+            bits ^= 1 << int(b)
+        data.append((i, bits.to_bytes(32)))
+    rows = spark.createDataFrame([(i, i // 50, h) for i, h in data], "hash_id bigint, batch_no int, hash binary")
+    found = {tuple(r) for r in dedup_batches(rows, index=HashIndex(spark, hot_rows=5, few_rows=0)).collect()}
+    assert found == greedy(data) and len(found) > 15
+
+
 def test_history_opens_again(spark, tmp_path):
     data, path, found = history_rows(60), str(tmp_path / "index"), set()
     rows = spark.createDataFrame([(i, h) for i, h in data], "id bigint, hash binary")
