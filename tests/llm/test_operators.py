@@ -63,6 +63,30 @@ def test_history_of_hashes_that_agree_in_half_of_their_bits(spark):
     assert found == greedy(data) and len(found) > 15
 
 
+def test_history_of_strangers_under_the_same_tokens(spark):
+    """Each token is shared by six rows that are not near: that must not take a round for each of them."""
+    rng = np.random.default_rng(11)
+    widths = (22, 21, 21) * 4
+    values, data = [[int(x) for x in rng.integers(0, 1 << w, 50)] for w in widths], []
+    for i in range(300):
+        if i % 10 == 9:
+            bits = int.from_bytes(data[int(rng.integers(i))][1], "little")
+            for b in rng.integers(0, 256, int(rng.integers(0, 12))):
+                bits ^= 1 << int(b)
+        else:
+            bits, shift = 0, 0
+            for w, of_place in zip(widths, values):
+                bits |= of_place[int(rng.integers(50))] << shift
+                shift += w
+        data.append((i, bits.to_bytes(32, "little")))
+    rows = spark.createDataFrame(data, "id bigint, hash binary")
+    spark.sparkContext.setJobGroup("strangers", "")
+    found = {tuple(r) for r in HashIndex(spark, few_rows=0).ingest(rows).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("strangers"))
+    assert found == greedy(data) and len(found) > 15
+    assert jobs < 100
+
+
 def test_history_opens_again(spark, tmp_path):
     data, path, found = history_rows(60), str(tmp_path / "index"), set()
     rows = spark.createDataFrame([(i, h) for i, h in data], "id bigint, hash binary")
