@@ -5,9 +5,9 @@ Two hashes within 10 bits differ in at most 10 segments, so they share at least
 order their tokens in one way, rare before frequent, so the 11 rarest tokens of both hold a shared one: these prefixes
 are all that is stored and all that is looked up.
 
-A posting has 20 bytes: token, id, and the four words folded into one, which tells nearly all strangers under a token
+A posting has 18 bytes: token, id, and the four words folded into 48 bits, which tell nearly all strangers under a token
 apart, since folding never adds to a distance.  Postings travel and lie in blocks of one part (by token) each, as columns of
-bytes, not as rows.  One task holds the postings of one part, finds the pairs under each token, and only these few pairs
+bytes, not as rows, with the steps between sorted tokens in place of the tokens.  One task holds the postings of one part, finds the pairs under each token, and only these few pairs
 fetch the whole hashes for the exact check.
 
 The index is a folder: the frequent tokens, fixed when it is founded, and one generation of postings and hashes per load.
@@ -40,6 +40,7 @@ FEW_ROWS = 500_000
 _FREQUENT = 1000
 #: Rows whose postings are made at once, and postings in a part of an index whose size is known.
 _AT_ONCE, PART_POSTINGS = 100_000, 1_500_000
+_POSTING, _FOLD = 18, 6
 _BLOCKS, _PAIRS = "part int, data binary", "a bigint, b bigint, old boolean"
 _Arrays = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -58,12 +59,12 @@ def _tokens(words: np.ndarray) -> np.ndarray:
 
 
 def _folded(words: np.ndarray) -> np.ndarray:
-    """All bits in one word; turned, so that equal words do not cancel each other."""
+    """All bits in one word of 48 bits; turned, so that equal words do not cancel each other."""
     out = words[:, 0].copy()
     for i in (1, 2, 3):
         turn = np.uint64(17 * i)
         out ^= words[:, i] << turn | words[:, i] >> np.uint64(64) - turn
-    return out
+    return (out ^ out >> np.uint64(48)) & np.uint64((1 << 48) - 1)
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,13 +111,15 @@ def _packer(order: list[tuple[int, int]], parts: int) -> Callable[[Iterator[pa.R
             place, row = np.nonzero(stays)
             key = tokens[place, row]
             part = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
-            line = np.argsort(part.astype(np.uint16) if parts <= 65536 else part, kind="stable")
+            line = np.lexsort((key, part)) if parts > 1 << 15 else np.argsort(part << np.uint64(32) | key)
             part, key, row = part[line], key[line], row[line]
-            bytes_ = np.empty((len(key), 20), np.uint8)
-            bytes_[:, :4] = key.view(np.uint8).reshape(-1, 4)
-            bytes_[:, 4:12] = ids[row].view(np.uint8).reshape(-1, 8)
-            bytes_[:, 12:] = _folded(words)[row].view(np.uint8).reshape(-1, 8)
             ends = [*np.flatnonzero(np.diff(part)) + 1, len(key)]
+            step = np.diff(key, prepend=key[:1])
+            step[[0, *ends[:-1]]] = key[[0, *ends[:-1]]]  # each block begins anew
+            bytes_ = np.empty((len(key), _POSTING), np.uint8)
+            bytes_[:, :4] = step.view(np.uint8).reshape(-1, 4)
+            bytes_[:, 4:12] = ids[row].view(np.uint8).reshape(-1, 8)
+            bytes_[:, 12:] = _folded(words)[row].view(np.uint8).reshape(-1, 8)[:, :_FOLD]
             cuts = list(zip([0, *ends[:-1]], ends))
             data = pa.array([bytes_[i:j].T.tobytes() for i, j in cuts], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([int(part[i]) for i, _ in cuts], pa.int32()), data], ["part", "data"])
@@ -127,10 +130,12 @@ def _packer(order: list[tuple[int, int]], parts: int) -> Callable[[Iterator[pa.R
 def _unpacked(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, ids, fold = [], [], []
     for block in blocks:
-        at = np.frombuffer(block, np.uint8).reshape(20, -1)
-        key.append(np.ascontiguousarray(at[:4].T).view(np.uint32).ravel())
+        at = np.frombuffer(block, np.uint8).reshape(_POSTING, -1)
+        key.append(np.ascontiguousarray(at[:4].T).view(np.uint32).ravel().cumsum(dtype=np.uint32))
         ids.append(np.ascontiguousarray(at[4:12].T).view(np.int64).ravel())
-        fold.append(np.ascontiguousarray(at[12:].T).view(np.uint64).ravel())
+        folded = np.zeros((at.shape[1], 8), np.uint8)
+        folded[:, :_FOLD] = at[12:].T
+        fold.append(folded.view(np.uint64).ravel())
     return np.concatenate(key), np.concatenate(ids), np.concatenate(fold)
 
 
@@ -198,7 +203,7 @@ def _matcher(hot_rows: int, cross: bool) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             for data, fresh in zip(batch["data"], batch["fresh"].to_pylist()):
                 blocks.append(data.as_py())
-                new.append(np.full(len(blocks[-1]) // 20, fresh))
+                new.append(np.full(len(blocks[-1]) // _POSTING, fresh))
         if not any(n[0] for n in new):
             return
         postings = _unpacked(blocks)
